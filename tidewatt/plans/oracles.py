@@ -188,11 +188,14 @@ def naive(horizon: int, key: str = "event_type") -> str:
 
 
 PAIRS = SPLIT_ORDERS + """,
-    pairs AS (SELECT o.series_id, o.split, o.t AS origin_ts, CAST(s.step AS INTEGER) AS step, y.load AS y, p.load AS yhat
+    targets AS MATERIALIZED (SELECT o.series_id, o.split, o.t AS origin_ts, s.step, o.split_pos + s.step AS y_pos,
+      o.split_pos + s.step - 168 AS p_pos
       FROM split_rows o CROSS JOIN (SELECT unnest(generate_series(1, 24)) AS step) s
-      JOIN split_rows y ON y.split = o.split AND y.split_pos = o.split_pos + s.step
-      JOIN split_rows p ON p.split = o.split AND p.split_pos = o.split_pos + s.step - 168
-      WHERE o.split_pos >= 167 AND o.split_pos + 24 < o.split_n)"""
+      WHERE o.split_pos >= 167 AND o.split_pos + 24 < o.split_n),
+    with_y AS MATERIALIZED (SELECT o.*, y.load AS y FROM targets o JOIN split_rows y
+      ON y.series_id = o.series_id AND y.split = o.split AND y.split_pos = o.y_pos),
+    pairs AS (SELECT o.series_id, o.split, o.origin_ts, CAST(o.step AS INTEGER) AS step, o.y, p.load AS yhat
+      FROM with_y o JOIN split_rows p ON p.series_id = o.series_id AND p.split = o.split AND p.split_pos = o.p_pos)"""
 METRICS = """count(*) AS n_pairs, round(avg(abs(y - greatest(0, yhat))), {d}) AS mae,
       round(sqrt(avg((y - greatest(0, yhat)) * (y - greatest(0, yhat)))), {d}) AS rmse,
       round(avg(2 * abs(y - greatest(0, yhat)) / (abs(y) + abs(greatest(0, yhat)) + 1e-8)) * 100, {d}) AS smape"""
