@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import WindowError
 from ..functions.severity import is_above, severity_by_excess, severity_by_sigma
@@ -25,7 +26,7 @@ from ..schema import (
     BOTTLENECK, DETECTOR_COLUMNS, HOUR, MAX_ERROR_BUFFER, SERIES, SEVERITY_LEVELS, TIME, WINDOW_LENGTH,
     WINDOW_STRIDE,
 )
-from ..session import cut
+from ..session import cut, stage
 from . import axis, prepare
 from .quantiles import exact_quantiles
 
@@ -127,7 +128,7 @@ def score_windows(
     ``make_predict`` builds, once per worker process, a function from an array
     of shape (batch, *shape) to one of shape (batch, outputs).
     """
-    predict = predict_batch_udf(make_predict, return_type="array<double>", batch_size=batch_size,
+    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
                                 input_tensor_shapes=[list(shape)])
     return windows.withColumn(output, predict(cells))
 
@@ -246,8 +247,9 @@ def fit_detector(
     """
     keys = list(keys)
     rows = prepare.normal_rows(train) if filter_normal else train
+    # numbered once and written: the passes below only read it
+    rows = stage(axis.with_position(rows.drop("pos", "n"), keys, step=step), "train-rows")
     scaler = cut(prepare.fit_minmax(rows, DETECTOR_COLUMNS, keys))
-    rows = axis.with_position(rows.drop("pos", "n"), keys, step=step)
     scaled = prepare.transform_minmax(rows, scaler, DETECTOR_COLUMNS, keys)
     profile = autoencoder = None
     if reconstruction == "profile":
@@ -255,20 +257,24 @@ def fit_detector(
     elif reconstruction == "pca":
         # more windows than components are needed: fit on overlapping ones
         made = prepare.windows(scaled, keys=keys, length=length, stride=fit_stride or 1)
-        autoencoder = fit_autoencoder(made, k)
+        autoencoder = fit_autoencoder(stage(made, "train-windows"), k)
     else:
         raise ValueError(f"unknown reconstruction {reconstruction!r}")
-    errors = window_errors(rows, (scaler, profile, autoencoder, keys), keys, stride, length)
+    errors = cut(window_errors(rows, (scaler, profile, autoencoder, keys), keys, stride, length))
     threshold = cut(fit_threshold(errors, keys, method))
     return Detector(scaler, threshold, keys, profile, autoencoder, length, step)
 
 
 def detect(
     df: DataFrame, detector: Detector, stride: int = WINDOW_STRIDE, severity: str = "excess", time: str = TIME,
+    positioned: bool = False,
 ) -> DataFrame:
-    """Score every whole window of every series and flag the unusual ones."""
+    """Score every whole window of every series and flag the unusual ones.
+
+    ``positioned`` says that ``df`` already has the dense ``pos`` and ``n``.
+    """
     keys = detector.keys
-    rows = axis.with_position(df.drop("pos", "n"), keys, time, detector.step)
+    rows = df if positioned else axis.with_position(df.drop("pos", "n"), keys, time, detector.step)
     parts = (detector.scaler, detector.profile, detector.autoencoder, keys)
     errors = window_errors(rows, parts, keys, stride, detector.length, time)
     return flag_windows(errors, detector.threshold, keys, severity)

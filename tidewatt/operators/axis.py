@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import HOUR, SERIES, TIME
-from ..session import cut
 
 # Rows of one series handled by one window task: large enough that a 168-row
 # overlap costs about 4 %, small enough to sort in memory.
@@ -142,11 +141,7 @@ def series_bounds(df: DataFrame, keys: Sequence[str] = SERIES, time: str = TIME)
 
 
 def global_bounds(bounds: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Give every series the range of all series.
-
-    The bounds (one row per series) are computed once, not once per use.
-    """
-    bounds = cut(bounds)
+    """Give every series the range of all series."""
     whole = bounds.agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     # one row by construction
     return bounds.select(*keys).crossJoin(F.broadcast(whole))

@@ -9,15 +9,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import calendar, scaling, severity
+from ..functions import calendar
 from ..operators import anomaly, axis, explore, features, forecast, prepare, quality, report
-from ..schema import (
-    DAY, DETECTOR_COLUMNS, EXTENDED_HORIZON, FEATURE_COLUMNS, SERIES, TARGET_COLUMN, TIME, WINDOW_LENGTH,
-)
+from ..schema import DAY, DETECTOR_COLUMNS, EXTENDED_HORIZON, SERIES, TIME, WINDOW_LENGTH
 from ..session import scratch_path, stage
 from ..sources import artefacts, tables
 from . import analysis, driver_loads, training
@@ -75,7 +73,7 @@ def _scored(spark, folder, key="event_type", severity_rule="excess", **options):
     split_rows = stage(_split(spark, folder, key), "split")
     detector = _detector(split_rows, **options)
     rows = split_rows.drop("split", "split_pos", "split_n")
-    return anomaly.detect(rows, detector, severity=severity_rule), detector
+    return anomaly.detect(rows, detector, severity=severity_rule, positioned=True), detector
 
 
 # --- reading, cleaning, checking --------------------------------------------
@@ -488,7 +486,7 @@ def profile_recon_error_overlap(spark, folder):
     split_rows = stage(_split(spark, folder), "split")
     detector = _detector(split_rows, stride=1)
     rows = split_rows.drop("split", "split_pos", "split_n")
-    return anomaly.detect(rows, detector, stride=1).select(*SERIES, "window_id", "start_ts", "end_ts", "error")
+    return anomaly.detect(rows, detector, stride=1, positioned=True).select(*SERIES, "window_id", "start_ts", "end_ts", "error")
 
 
 def _threshold(spark, folder, method):

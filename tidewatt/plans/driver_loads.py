@@ -13,7 +13,7 @@ from ..functions.calendar import holiday_table
 from ..operators import axis
 from ..operators.features import load_features
 from ..schema import DAY, SERIES, TIME
-from ..session import prepare_session
+from ..session import prepare_session, stage
 
 FILL = {"load": 0.0, "temperature": 0.0, "humidity": 0.0}
 
@@ -40,13 +40,13 @@ def hourly_events(spark: SparkSession, folder: str, key: str = "event_type") ->
 
 
 def dense_events(spark: SparkSession, folder: str, key: str = "event_type") -> DataFrame:
-    """Every hour of the whole table for every series, absent hours as 0."""
-    hourly = hourly_events(spark, folder, key)
-    raw = table(spark, folder, "events").select(
-        F.col(key).cast("string").alias("series_id"),
-        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias(TIME),
-    )
-    bounds = axis.global_bounds(axis.series_bounds(raw))
+    """Every hour of the whole table for every series, absent hours as 0.
+
+    The hourly table is written first: it is far smaller than the events,
+    which are then scanned once and not again for the range of the axis.
+    """
+    hourly = stage(hourly_events(spark, folder, key), "hourly")
+    bounds = axis.global_bounds(axis.series_bounds(hourly))
     return axis.densify(hourly, fill=FILL, bounds=bounds)
 
 
@@ -56,7 +56,7 @@ def dense_orders(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "orders").withColumn("series", F.lit("orders")),
         "series", "o_orderdate", "day", "o_totalprice",
     )
-    return axis.densify(daily, step=DAY, fill=FILL)
+    return axis.densify(stage(daily, "daily"), step=DAY, fill=FILL)
 
 
 def event_features(spark: SparkSession, folder: str, key: str = "event_type") -> DataFrame:
