@@ -46,19 +46,13 @@ def weekend_flag(time: str | Column = TIME) -> Column:
     return (F.weekday(time) >= 5).cast("int")
 
 
-def cycle(value: Column, period: int) -> tuple[Column, Column]:
-    """(sin, cos) of one turn per ``period``."""
-    angle = F.lit(2 * math.pi) * value / F.lit(period)
-    return F.sin(angle), F.cos(angle)
-
-
-def cyclic_encoding(time: str | Column = TIME) -> dict[str, Column]:
+def cyclic_encoding(time: str = TIME) -> dict[str, Column]:
     """The six sin/cos columns. Months run from 1 to 12 and are not shifted."""
-    parts = {"hour": F.hour(time), "dayofweek": F.weekday(time), "month": F.month(time)}
-    out = {}
-    for name, period in CYCLES.items():
-        out[f"{name}_sin"], out[f"{name}_cos"] = cycle(parts[name], period)
-    return out
+    parts = {"hour": "hour", "dayofweek": "weekday", "month": "month"}
+    return {
+        f"{name}_{wave}": F.expr(f"{wave}({2 * math.pi!r}D * {parts[name]}(`{time}`) / {period})")
+        for name, period in CYCLES.items() for wave in ("sin", "cos")
+    }
 
 
 def weekday_name(day: str | Column = "day_of_week") -> Column:
@@ -77,19 +71,16 @@ def step_label(step: str | Column, time: str | Column | None = None) -> Column:
     return relative if time is None else F.coalesce(time_text(time), relative)
 
 
-def _easter(year: Column) -> Column:
-    """Easter Sunday by the Gregorian computus (Meeus/Jones/Butcher)."""
-    def div(x, k):
-        return F.floor(x / F.lit(k))
-
-    golden = year % 19
-    century, rest = div(year, 100), year % 100
-    leap = div(century - div(century + 8, 25) + 1, 3)
-    epact = (golden * 19 + century - div(century, 4) - leap + 15) % 30
-    weekday = (F.lit(32) + (century % 4) * 2 + div(rest, 4) * 2 - epact - rest % 4) % 7
-    late = div(golden + epact * 11 + weekday * 22, 451)
-    days = epact + weekday - late * 7 + 114
-    return F.make_date(year, div(days, 31).cast("int"), (days % 31 + 1).cast("int"))
+# Easter Sunday by the Gregorian computus (Meeus/Jones/Butcher), one step a line.
+_EASTER_STEPS = [
+    "cast(id AS INT) AS year", "year % 19 AS golden", "year div 100 AS century", "year % 100 AS rest",
+    "(century - (century + 8) div 25 + 1) div 3 AS leap",
+    "(golden * 19 + century - century div 4 - leap + 15) % 30 AS epact",
+    "(32 + (century % 4) * 2 + (rest div 4) * 2 - epact - rest % 4) % 7 AS weekday",
+    "(golden + epact * 11 + weekday * 22) div 451 AS late",
+    "epact + weekday - late * 7 + 114 AS days",
+    "make_date(year, cast(days div 31 AS INT), cast(days % 31 + 1 AS INT)) AS easter",
+]
 
 
 def holiday_table(
@@ -100,17 +91,17 @@ def holiday_table(
 
     With ``observed`` a holiday on a Sunday is also kept on the Monday after.
     """
-    fixed = [F.struct(F.make_date("year", F.lit(m), F.lit(d)).alias("date"), F.lit(name).alias("name"))
-             for m, d, name in FIXED_HOLIDAYS[country]]
-    easter = _easter(F.col("year"))
-    moving = [F.struct(F.date_add(easter, off).alias("date"), F.lit(name).alias("name"))
-              for off, name in EASTER_HOLIDAYS[country]]
-    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("year"))
-    days = years.select(F.inline(F.array(*fixed, *moving)))
+    def entry(date: str, name: str) -> str:
+        return f"struct({date} AS date, '{name.replace(chr(39), chr(92) + chr(39))}' AS name)"
+
+    entries = [entry(f"make_date(year, {m}, {d})", name) for m, d, name in FIXED_HOLIDAYS[country]]
+    entries += [entry(f"date_add(easter, {off})", name) for off, name in EASTER_HOLIDAYS[country]]
+    years = spark.range(first_year, last_year + 1).selectExpr(*_EASTER_STEPS)
+    days = years.selectExpr(f"inline(array({', '.join(entries)}))")
     if observed:
-        monday = F.struct(F.date_add("date", 1).alias("date"), F.concat("name", F.lit(" (observed)")).alias("name"))
-        given = F.struct("date", "name")
-        days = days.select(F.inline(F.when(F.weekday("date") == 6, F.array(given, monday)).otherwise(F.array(given))))
+        days = days.selectExpr(
+            "inline(if(weekday(date) = 6, array(struct(date, name), "
+            "struct(date_add(date, 1) AS date, concat(name, ' (observed)') AS name)), array(struct(date, name))))")
     return days.select(F.lit(country).alias("country"), "date", "name")
 
 

@@ -1,7 +1,9 @@
-"""Min-max scaling as column expressions.
+"""Min-max scaling as SQL expressions.
 
 Spark ML's ``MinMaxScaler`` maps a constant column to 0.5; here it maps to 0.
-Values outside the fitted range are not clipped.
+Values outside the fitted range are not clipped. Expressions are SQL text
+because a table scales dozens of columns at once, and one parsed string per
+column is much cheaper to build than a tree of column calls.
 """
 
 from __future__ import annotations
@@ -10,14 +12,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def scale(value: Column, low: Column, high: Column) -> Column:
-    span = high - low
-    return (value - low) / F.when(span == 0, F.lit(1.0)).otherwise(span)
+def _span(low: str, high: str) -> str:
+    return f"if({high} = {low}, 1D, {high} - {low})"
 
 
-def unscale(value: Column, low: Column, high: Column) -> Column:
-    span = high - low
-    return value * F.when(span == 0, F.lit(1.0)).otherwise(span) + low
+def scale(value: str, low: str, high: str) -> str:
+    return f"((cast({value} AS DOUBLE) - {low}) / {_span(low, high)})"
+
+
+def unscale(value: str, low: str, high: str) -> str:
+    return f"(cast({value} AS DOUBLE) * {_span(low, high)} + {low})"
 
 
 def served_load(value: Column) -> Column:

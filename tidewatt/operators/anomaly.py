@@ -42,11 +42,10 @@ def fit_profile(
     One row per series, one array of ``length`` means per feature.
     """
     cells = prepare.window_cells(scaled, length, stride)
-    means = cells.groupBy(*keys, "offset").agg(*[F.avg(c).alias(c) for c in columns])
+    means = cells.groupBy(*keys, "offset").agg(*[F.expr(f"avg(`{c}`) AS `{c}`") for c in columns])
     ordered = F.sort_array(F.collect_list(F.struct("offset", *columns)))
     per_series = means.groupBy(*keys) if keys else means.groupBy()
-    return per_series.agg(ordered.alias("_o")).select(
-        *keys, *[F.col("_o").getField(c).alias(f"profile_{c}") for c in columns])
+    return per_series.agg(ordered.alias("_o")).selectExpr(*keys, *[f"_o.`{c}` AS `profile_{c}`" for c in columns])
 
 
 def profile_errors(
@@ -63,12 +62,10 @@ def profile_errors(
     model_keys = list(keys if model_keys is None else model_keys)
     wide = axis.attach(scaled.select(*keys, time, "pos", "n", *columns), profile, model_keys)
     cells = prepare.window_cells(wide, length, stride)
-    total = F.lit(0.0)
-    for c in columns:
-        total = total + F.abs(F.col(c) - F.element_at(f"profile_{c}", F.col("offset") + 1))
+    gap = F.expr(" + ".join(f"abs(`{c}` - element_at(`profile_{c}`, offset + 1))" for c in columns))
     return cells.groupBy(*keys, "window_id").agg(
         F.min(time).alias("start_ts"), F.max(time).alias("end_ts"),
-        (F.sum(total) / F.lit(length * len(columns))).alias("error"))
+        (F.sum(gap) / F.lit(length * len(columns))).alias("error"))
 
 
 def mean_profile_model(profile: np.ndarray) -> Callable:

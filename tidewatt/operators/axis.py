@@ -120,6 +120,11 @@ def chunk_window(keys: Sequence[str] = SERIES):
     return Window.partitionBy(*keys, "_chunk").orderBy("_at")
 
 
+def chunk_window_sql(keys: Sequence[str] = SERIES) -> str:
+    """``chunk_window`` as SQL text."""
+    return f"PARTITION BY {', '.join(f'`{k}`' for k in [*keys, '_chunk'])} ORDER BY _at"
+
+
 def drop_chunks(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_at", "_chunk", "_own")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar
@@ -44,32 +44,28 @@ def _frame(w, rows: int):
     return w.rowsBetween(-(rows - 1), Window.currentRow)
 
 
-def _full(values: Column, counts: Column, rows: int) -> Column:
-    return F.when(counts == F.lit(rows), values)
-
-
-def _rolling(df: DataFrame, value: str, w) -> DataFrame:
+def _rolling(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """24-row and 168-row statistics in one sort.
 
     The 168-row sum is the sum of seven 24-row sums a day apart, so a row
     reads 24 + 7 values and not 24 + 168.
     """
-    short = _frame(w, DAY_ROWS)
+    short = _frame(axis.chunk_window(keys), DAY_ROWS)
+    spec = axis.chunk_window_sql(keys)
     df = df.withColumns({
         "_sum": F.sum(value).over(short),
         "_cnt": F.count(value).over(short),
         "_std": F.stddev_samp(value).over(short),
     })
-    days = range(0, WEEK_ROWS, DAY_ROWS)
-    total, count = F.lit(0.0), F.lit(0)
-    for back in days:
-        total = total + (F.lag("_sum", back).over(w) if back else F.col("_sum"))
-        count = count + (F.lag("_cnt", back).over(w) if back else F.col("_cnt"))
-    df = df.withColumns({"_sum_week": total, "_cnt_week": count})
+    df = df.withColumns({
+        name: F.expr(" + ".join([column, *[f"lag({column}, {back}) OVER ({spec})"
+                                           for back in range(DAY_ROWS, WEEK_ROWS, DAY_ROWS)]]))
+        for name, column in (("_sum_week", "_sum"), ("_cnt_week", "_cnt"))
+    })
     return df.withColumns({
-        "rolling_mean_24": _full(F.col("_sum") / F.lit(DAY_ROWS), F.col("_cnt"), DAY_ROWS),
-        "rolling_std_24": _full(F.col("_std"), F.col("_cnt"), DAY_ROWS),
-        "rolling_mean_168": _full(F.col("_sum_week") / F.lit(WEEK_ROWS), F.col("_cnt_week"), WEEK_ROWS),
+        "rolling_mean_24": F.expr(f"if(_cnt = {DAY_ROWS}, _sum / {DAY_ROWS}, null)"),
+        "rolling_std_24": F.expr(f"if(_cnt = {DAY_ROWS}, _std, null)"),
+        "rolling_mean_168": F.expr(f"if(_cnt_week = {WEEK_ROWS}, _sum_week / {WEEK_ROWS}, null)"),
     }).drop("_sum", "_cnt", "_std", "_sum_week", "_cnt_week")
 
 
@@ -83,7 +79,7 @@ def rolling_stats(
     full, also when a value inside it is missing.
     """
     chunked = _in_chunks(df, keys, time, step, gapless, WEEK_ROWS - 1, chunk_rows)
-    return axis.drop_chunks(_rolling(chunked, value, axis.chunk_window(keys)))
+    return axis.drop_chunks(_rolling(chunked, value, keys))
 
 
 def trailing_stats(
@@ -129,7 +125,7 @@ def load_features(
     chunked = _in_chunks(df, keys, time, step, gapless, WEEK_ROWS, chunk_rows)
     w = axis.chunk_window(keys)
     lagged = chunked.withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in (1, DAY_ROWS, WEEK_ROWS)})
-    wide = axis.drop_chunks(_rolling(lagged, value, w))
+    wide = axis.drop_chunks(_rolling(lagged, value, keys))
     out = calendar_features(wide, holidays, time)
     return out.dropna("any") if drop_incomplete else out
 

@@ -236,7 +236,7 @@ def fit_forecaster(
 def _load_scaled(df: DataFrame, fitted: Forecaster, formula, source: str, name: str) -> DataFrame:
     low, high = f"min_{TARGET_COLUMN}", f"max_{TARGET_COLUMN}"
     wide = axis.attach(df, fitted.scaler.select(*fitted.keys, low, high), fitted.keys)
-    return wide.withColumn(name, formula(F.col(source), F.col(low), F.col(high))).drop(low, high)
+    return wide.withColumn(name, F.expr(formula(source, low, high))).drop(low, high)
 
 
 def predict_split(split_rows: DataFrame, fitted: Forecaster) -> DataFrame:
@@ -278,19 +278,19 @@ def _predict_day(states: DataFrame, fitted: Forecaster, has_time: bool) -> DataF
     """The next 24 loads of every state, unscaled, rounded and not negative."""
     keys = fitted.keys
     wide = axis.attach(states, fitted.scaler, keys)
-    scaled = {c: scale(F.col(c), F.col(f"min_{c}"), F.col(f"max_{c}")) for c in FEATURE_COLUMNS}
-    low, high = F.col(f"min_{TARGET_COLUMN}"), F.col(f"max_{TARGET_COLUMN}")
-    steps = wide.withColumns(scaled).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(FORECAST_HORIZON))))
-    inputs = {
-        name: scale(F.element_at("loads", F.lit(SEQUENCE_LENGTH - k) + F.col("step")), low, high)
+    low, high = f"min_{TARGET_COLUMN}", f"max_{TARGET_COLUMN}"
+    inputs = {c: F.expr(scale(c, f"min_{c}", f"max_{c}")) for c in FEATURE_COLUMNS}
+    inputs |= {
+        name: F.expr(scale(f"element_at(loads, {SEQUENCE_LENGTH - k} + step)", low, high))
         for k, name in zip(REFERENCES, REFERENCE_COLUMNS)
     }
-    rows = _target_columns(steps.withColumns(inputs).withColumns({"_low": low, "_high": high}), fitted.step)
+    steps = wide.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(FORECAST_HORIZON))))
+    rows = _target_columns(steps.withColumns(inputs), fitted.step)
     if not has_time:
         # the hour of a target is not known: take it from the reference rows
         reference = F.element_at("_ref", F.col("step"))
         rows = rows.withColumns({f"target_{c}": reference[c] for c in CYCLE_COLUMNS})
-    yhat = served_load(unscale(F.col("scaled_yhat"), F.col("_low"), F.col("_high")))
+    yhat = served_load(F.expr(unscale("scaled_yhat", low, high)))
     return fitted.model.transform(rows).select(*keys, "origin_ts", "step", "ts", yhat.alias("yhat"))
 
 

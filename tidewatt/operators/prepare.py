@@ -15,8 +15,6 @@ from ..schema import (
 )
 from . import axis
 
-SPLITS = ("train", "val", "test")
-
 
 def select_features(df: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS,
                     keep: Sequence[str] = (*SERIES, TIME)) -> DataFrame:
@@ -41,13 +39,15 @@ def chrono_split(
     """
     placed = axis.with_position(df, keys, time, step)
     first, second = split_limits(F.col("n"), train, val)
-    pos = F.col("pos")
     placed = placed.withColumns({"_a": first, "_b": second})
-    pick = lambda x, y, z: F.when(pos < F.col("_a"), x).when(pos < F.col("_b"), y).otherwise(z)
+
+    def pick(x: str, y: str, z: str):
+        return F.expr(f"CASE WHEN pos < _a THEN {x} WHEN pos < _b THEN {y} ELSE {z} END")
+
     return placed.withColumns({
-        "split": pick(*[F.lit(s) for s in SPLITS]),
-        "split_pos": pick(pos, pos - F.col("_a"), pos - F.col("_b")),
-        "split_n": pick(F.col("_a"), F.col("_b") - F.col("_a"), F.col("n") - F.col("_b")),
+        "split": pick("'train'", "'val'", "'test'"),
+        "split_pos": pick("pos", "pos - _a", "pos - _b"),
+        "split_n": pick("_a", "_b - _a", "n - _b"),
     }).drop("_a", "_b")
 
 
@@ -61,10 +61,7 @@ def normal_rows(df: DataFrame, sigmas: float = FILTER_SIGMAS, value: str = TARGE
 
 def fit_minmax(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES) -> DataFrame:
     """``min_<c>`` and ``max_<c>`` per series; give it the training rows only."""
-    bounds = []
-    for c in columns:
-        value = F.col(c).cast("double")
-        bounds += [F.min(value).alias(f"min_{c}"), F.max(value).alias(f"max_{c}")]
+    bounds = [F.expr(f"{side}(cast(`{c}` AS DOUBLE)) AS `{side}_{c}`") for c in columns for side in ("min", "max")]
     return df.groupBy(*keys).agg(*bounds) if keys else df.agg(*bounds)
 
 
@@ -74,8 +71,8 @@ def _bounds(columns: Sequence[str]) -> list[str]:
 
 def _rescaled(df, params, columns, keys, formula):
     wide = axis.attach(df, params.select(*keys, *_bounds(columns)), keys)
-    made = {c: formula(F.col(c).cast("double"), F.col(f"min_{c}"), F.col(f"max_{c}")) for c in columns}
-    return wide.withColumns(made).drop(*_bounds(columns))
+    made = {c: f"{formula(f'`{c}`', f'`min_{c}`', f'`max_{c}`')} AS `{c}`" for c in columns}
+    return wide.selectExpr(*[made.get(c, f"`{c}`") for c in df.columns])
 
 
 def transform_minmax(df: DataFrame, params: DataFrame, columns: Sequence[str],

@@ -25,13 +25,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles and drop the zone of times."""
-    made = {}
-    for f in df.schema.fields:
+    def final(f: T.StructField) -> str:
         if isinstance(f.dataType, T.DoubleType):
-            made[f.name] = F.round(f.name, digits)
-        elif isinstance(f.dataType, T.TimestampType):
-            made[f.name] = F.col(f.name).cast("timestamp_ntz")
-    return df.withColumns(made) if made else df
+            return f"round(`{f.name}`, {digits}) AS `{f.name}`"
+        if isinstance(f.dataType, T.TimestampType):
+            return f"cast(`{f.name}` AS TIMESTAMP_NTZ) AS `{f.name}`"
+        return f"`{f.name}`"
+
+    return df.selectExpr(*[final(f) for f in df.schema.fields])
 
 
 def query(digits: int = 6, name: str | None = None):

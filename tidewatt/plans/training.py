@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scaling import clamp_load, unscale
+from ..functions.scaling import unscale
 from ..operators import anomaly, axis, forecast, prepare, quality, report
 from ..schema import DETECTOR_COLUMNS, FEATURE_COLUMNS, HOUR, SERIES, TARGET_COLUMN, TIME, TRIALS
 from ..session import cut, stage
@@ -64,14 +64,12 @@ def tune_forecaster(
     low, high = f"min_{TARGET_COLUMN}", f"max_{TARGET_COLUMN}"
     val = axis.attach(rows("val"), scaler.select(*keys, low, high), keys)
     val = val.withColumn("_x", vector_to_array("inputs"))
-    actual = unscale(F.col("label"), F.col(low), F.col(high))
+    val = val.withColumn("_y", F.expr(unscale("label", low, high)))
     errors = []
     for i, model in enumerate(models):
-        scaled = F.lit(float(model.intercept))
-        for j, weight in enumerate(model.coefficients.toArray()):
-            scaled = scaled + F.lit(float(weight)) * F.col("_x")[j]
-        served = clamp_load(unscale(scaled, F.col(low), F.col(high)))
-        errors.append(F.avg(F.abs(actual - served)).alias(f"t{i}"))
+        weights = [f"{w!r}D * _x[{j}]" for j, w in enumerate(model.coefficients.toArray().tolist())]
+        served = unscale(f"({' + '.join([f'{float(model.intercept)!r}D', *weights])})", low, high)
+        errors.append(F.expr(f"avg(abs(_y - greatest(0D, {served}))) AS t{i}"))
     scored = val.agg(*errors)
     names = F.array(*[F.lit(str(sorted(p.items()))) for p in points])
     return (
