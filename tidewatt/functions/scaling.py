@@ -12,16 +12,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _span(low: str, high: str) -> str:
+def span(low: str, high: str) -> str:
+    """Width of the fitted range, 1 for a constant column."""
     return f"if({high} = {low}, 1D, {high} - {low})"
 
 
 def scale(value: str, low: str, high: str) -> str:
-    return f"((cast({value} AS DOUBLE) - {low}) / {_span(low, high)})"
+    return f"((cast({value} AS DOUBLE) - {low}) * (1D / {span(low, high)}))"
 
 
 def unscale(value: str, low: str, high: str) -> str:
-    return f"(cast({value} AS DOUBLE) * {_span(low, high)} + {low})"
+    return f"(cast({value} AS DOUBLE) * {span(low, high)} + {low})"
 
 
 def served_load(value: Column) -> Column:

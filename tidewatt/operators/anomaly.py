@@ -39,13 +39,10 @@ def fit_profile(
 ) -> DataFrame:
     """The mean of every (offset, feature) cell over the training windows.
 
-    One row per series, one array of ``length`` means per feature.
+    One row per series and offset, ``profile_<feature>`` columns.
     """
     cells = prepare.window_cells(scaled, length, stride)
-    means = cells.groupBy(*keys, "offset").agg(*[F.expr(f"avg(`{c}`) AS `{c}`") for c in columns])
-    ordered = F.sort_array(F.collect_list(F.struct("offset", *columns)))
-    per_series = means.groupBy(*keys) if keys else means.groupBy()
-    return per_series.agg(ordered.alias("_o")).selectExpr(*keys, *[f"_o.`{c}` AS `profile_{c}`" for c in columns])
+    return cells.groupBy(*keys, "offset").agg(*[F.expr(f"avg(`{c}`) AS `profile_{c}`") for c in columns])
 
 
 def profile_errors(
@@ -60,10 +57,10 @@ def profile_errors(
     profile was fitted by, all of ``keys`` unless given.
     """
     model_keys = list(keys if model_keys is None else model_keys)
-    wide = axis.attach(scaled.select(*keys, time, "pos", "n", *columns), profile, model_keys)
-    cells = prepare.window_cells(wide, length, stride)
-    gap = F.expr(" + ".join(f"abs(`{c}` - element_at(`profile_{c}`, offset + 1))" for c in columns))
-    return cells.groupBy(*keys, "window_id").agg(
+    cells = prepare.window_cells(scaled.select(*keys, time, "pos", "n", *columns), length, stride)
+    wide = axis.attach(cells, profile, [*model_keys, "offset"])
+    gap = F.expr(" + ".join(f"abs(`{c}` - `profile_{c}`)" for c in columns))
+    return wide.groupBy(*keys, "window_id").agg(
         F.min(time).alias("start_ts"), F.max(time).alias("end_ts"),
         (F.sum(gap) / F.lit(length * len(columns))).alias("error"))
 

@@ -25,8 +25,10 @@ from ..schema import HOUR, SERIES, TIME
 CHUNK_ROWS = 4096
 # Block totals added up by one task before the next level takes over.
 FAN = 4096
-# Per-series parameter tables up to this many rows are broadcast.
-BROADCAST_ROWS = 10_000
+# Parameter tables are broadcast up to this many rows and this many values
+# (32 MB of doubles).
+BROADCAST_ROWS = 100_000
+BROADCAST_VALUES = 4_000_000
 
 
 def tick(time: str | Column = TIME, step: int = HOUR) -> Column:
@@ -63,11 +65,13 @@ def with_position(
         "_block", F.floor(seconds / F.lit(step * block_rows))
     )
     totals = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    # numbered before the join: the sort of the window also serves the join
     inside = Window.partitionBy(*keys, "_block").orderBy(time, *order)
     return (
-        blocked.join(_block_offsets(totals, keys), [*keys, "_block"])
-        .withColumn("pos", F.col("_before") + F.row_number().over(inside) - F.lit(1))
-        .drop("_block", "_before")
+        blocked.withColumn("_at", F.row_number().over(inside))
+        .join(_block_offsets(totals, keys), [*keys, "_block"])
+        .withColumn("pos", F.col("_before") + F.col("_at") - F.lit(1))
+        .drop("_block", "_before", "_at")
     )
 
 
@@ -196,8 +200,7 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = SERIES) -> Da
     """Put the parameters of a series (scaler, threshold, profile) on its rows.
 
     ``params`` has one row per series and should already be materialised: its
-    rows are counted here. Up to ``BROADCAST_ROWS`` rows it is broadcast and
-    ``df`` is not shuffled; beyond that it is a shuffled join, in which
+    rows are counted here. A small one is broadcast and ``df`` is not shuffled; beyond that it is a shuffled join, in which
     adaptive execution splits the partition of a long series. Rows of a series
     without parameters are kept, with nulls.
     """
@@ -205,6 +208,7 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = SERIES) -> Da
     if not keys:
         # an aggregate without grouping: one row by construction
         return df.crossJoin(F.broadcast(params))
-    if params.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    bound = min(BROADCAST_ROWS, BROADCAST_VALUES // len(params.columns))
+    if params.limit(bound + 1).count() <= bound:
         params = F.broadcast(params)
     return df.join(params, keys, "left")

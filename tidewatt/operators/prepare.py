@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import WindowError
-from ..functions.scaling import scale, unscale
+from ..functions.scaling import span
 from ..schema import (
     DETECTOR_COLUMNS, FEATURE_COLUMNS, FILTER_SIGMAS, FORECAST_HORIZON, HOUR, SEQUENCE_LENGTH, SERIES,
     TARGET_COLUMN, TIME, TRAIN_RATIO, VAL_RATIO, WINDOW_LENGTH, WINDOW_STRIDE,
@@ -65,24 +65,25 @@ def fit_minmax(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERI
     return df.groupBy(*keys).agg(*bounds) if keys else df.agg(*bounds)
 
 
-def _bounds(columns: Sequence[str]) -> list[str]:
-    return [f"{side}_{c}" for c in columns for side in ("min", "max")]
-
-
-def _rescaled(df, params, columns, keys, formula):
-    wide = axis.attach(df, params.select(*keys, *_bounds(columns)), keys)
-    made = {c: f"{formula(f'`{c}`', f'`min_{c}`', f'`max_{c}`')} AS `{c}`" for c in columns}
+def _rescaled(df, params, columns, keys, factor, formula):
+    """The range is turned into one factor per series and column before the
+    join: what is left per row is short enough for the JIT compiler."""
+    small = params.selectExpr(*keys, *[f"`min_{c}` AS `_low_{c}`" for c in columns],
+                              *[f"{factor.format(span(f'`min_{c}`', f'`max_{c}`'))} AS `_by_{c}`" for c in columns])
+    wide = axis.attach(df, small, keys)
+    made = {c: formula.format(value=f"cast(`{c}` AS DOUBLE)", low=f"`_low_{c}`", by=f"`_by_{c}`") + f" AS `{c}`"
+            for c in columns}
     return wide.selectExpr(*[made.get(c, f"`{c}`") for c in df.columns])
 
 
 def transform_minmax(df: DataFrame, params: DataFrame, columns: Sequence[str],
                      keys: Sequence[str] = SERIES) -> DataFrame:
-    return _rescaled(df, params, columns, keys, scale)
+    return _rescaled(df, params, columns, keys, "1D / ({})", "({value} - {low}) * {by}")
 
 
 def inverse_minmax(df: DataFrame, params: DataFrame, columns: Sequence[str],
                    keys: Sequence[str] = SERIES) -> DataFrame:
-    return _rescaled(df, params, columns, keys, unscale)
+    return _rescaled(df, params, columns, keys, "{}", "{value} * {by} + {low}")
 
 
 # --- sequences and windows --------------------------------------------------
@@ -132,12 +133,16 @@ def window_cells(
     is repeated once per window that covers it, so not at all when the stride
     is at least the length. Rows of the dropped tail give nothing.
     """
-    at, total = F.col(pos), F.col(n)
-    newest = F.least(F.floor(at / F.lit(stride)), F.floor((total - F.lit(length)) / F.lit(stride)))
-    oldest = F.greatest(F.lit(0).cast("bigint"), F.ceil((at - F.lit(length - 1)) / F.lit(stride)))
-    covered = df.withColumns({"_lo": oldest, "_hi": newest}).where(F.col("_lo") <= F.col("_hi"))
+    last = f"floor((`{n}` - {length}) / {stride})"
+    if stride >= length:
+        window_id, offset = f"floor(`{pos}` / {stride})", f"cast(`{pos}` % {stride} AS INT)"
+        return df.where(f"`{pos}` % {stride} < {length} AND {window_id} <= {last}").withColumns(
+            {"window_id": F.expr(window_id), "offset": F.expr(offset)})
+    newest = f"least(floor(`{pos}` / {stride}), {last})"
+    oldest = f"greatest(0L, ceil((`{pos}` - {length - 1}) / {stride}))"
+    covered = df.withColumns({"_lo": F.expr(oldest), "_hi": F.expr(newest)}).where("_lo <= _hi")
     out = covered.withColumn("window_id", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
-    return out.withColumn("offset", (at - F.col("window_id") * F.lit(stride)).cast("int"))
+    return out.withColumn("offset", F.expr(f"cast(`{pos}` - window_id * {stride} AS INT)"))
 
 
 def windows(
