@@ -24,7 +24,7 @@ from ..schema import (
     BAND_MARGIN, EXTENDED_HORIZON, EXTENDED_MARGIN_FACTOR, FEATURE_COLUMNS, FORECAST_HORIZON, HOUR,
     MIN_ROWS_EXTENDED, MIN_ROWS_FORECAST, SEQUENCE_LENGTH, SERIES, TARGET_COLUMN, TIME,
 )
-from ..session import cut
+from ..session import cut, stage
 from . import axis, prepare, quality
 
 REFERENCES = (24, 48, 168)
@@ -170,15 +170,16 @@ def fit_scaler(split_rows: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame
     return cut(prepare.fit_minmax(train, [*FEATURE_COLUMNS, TARGET_COLUMN], keys))
 
 
-def training_frame(
+def origin_frame(
     split_rows: DataFrame, scaler: DataFrame, keys: Sequence[str] = SERIES, time: str = TIME,
-    step: int = HOUR, horizon: int = FORECAST_HORIZON, origin_stride: int = 1,
-    chunk_rows: int = axis.CHUNK_ROWS,
+    horizon: int = FORECAST_HORIZON, origin_stride: int = 1, chunk_rows: int = axis.CHUNK_ROWS,
 ) -> DataFrame:
-    """(origin, step) rows with scaled inputs and scaled ``label``.
+    """One row per origin: scaled inputs, ``label`` and the earlier loads as
+    arrays of ``horizon`` values.
 
     Origins need 168 input rows and ``horizon`` targets inside their split.
-    ``origin_stride`` above 1 trains on every k-th origin only.
+    ``origin_stride`` above 1 keeps every k-th origin only. All shuffling is
+    done here; ``step_rows`` unfolds the arrays without any.
     """
     part = [*keys, "split"]
     columns = [*FEATURE_COLUMNS, TARGET_COLUMN]
@@ -193,11 +194,24 @@ def training_frame(
     origins = axis.drop_chunks(chunked.withColumns(frames)).where(_whole_origin(horizon))
     if origin_stride > 1:
         origins = origins.where(F.col("split_pos") % origin_stride == 0)
-    zipped = F.arrays_zip(*[F.col(c) for c in frames])
-    return _target_columns(
-        origins.select(*part, F.col(time).alias("origin_ts"), *FEATURE_COLUMNS,
-                       F.posexplode(zipped).alias("_p", "_t"))
-        .select("*", (F.col("_p") + 1).alias("step"), "_t.*").drop("_p", "_t"), step)
+    return origins.select(*part, F.col(time).alias("origin_ts"), *FEATURE_COLUMNS, *frames)
+
+
+def step_rows(origins: DataFrame, step: int = HOUR) -> DataFrame:
+    """(origin, step) rows of ``origin_frame``."""
+    unfolded = ["label", *REFERENCE_COLUMNS]
+    kept = [c for c in origins.columns if c not in unfolded]
+    rows = origins.select(*kept, F.posexplode(F.arrays_zip(*unfolded)).alias("_p", "_t"))
+    return _target_columns(rows.select(*kept, (F.col("_p") + 1).alias("step"), "_t.*"), step)
+
+
+def training_frame(
+    split_rows: DataFrame, scaler: DataFrame, keys: Sequence[str] = SERIES, time: str = TIME,
+    step: int = HOUR, horizon: int = FORECAST_HORIZON, origin_stride: int = 1,
+    chunk_rows: int = axis.CHUNK_ROWS,
+) -> DataFrame:
+    """(origin, step) rows with scaled inputs and scaled ``label``."""
+    return step_rows(origin_frame(split_rows, scaler, keys, time, horizon, origin_stride, chunk_rows), step)
 
 
 def _target_columns(df: DataFrame, step: int) -> DataFrame:
@@ -225,11 +239,15 @@ def fit_forecaster(
     origin_stride: int = 1, scaler: DataFrame | None = None,
 ) -> Forecaster:
     """Fit on the training split. ``regressor`` may be any Spark ML regressor
-    reading ``inputs`` / ``label`` and writing ``scaled_yhat``."""
+    reading ``inputs`` / ``label`` and writing ``scaled_yhat``.
+
+    The origins are written once; the passes of the solver unfold them into
+    steps, which takes a quarter of the space of the unfolded rows.
+    """
     scaler = fit_scaler(split_rows, keys) if scaler is None else scaler
     train = split_rows.where(F.col("split") == "train")
-    rows = training_frame(train, scaler, keys, step=step, origin_stride=origin_stride)
-    model = Pipeline(stages=[assembler(), regressor or estimator()]).fit(rows)
+    origins = stage(origin_frame(train, scaler, keys, origin_stride=origin_stride), "origins")
+    model = Pipeline(stages=[assembler(), regressor or estimator()]).fit(step_rows(origins, step))
     return Forecaster(model, scaler, list(keys), step)
 
 

@@ -152,11 +152,6 @@ def validate_input(spark, folder):
     return quality.violations(hourly, ["load", "temperature", "humidity"], 60)
 
 
-@query()
-def validate_columns(spark, folder):
-    return quality.violations(driver_loads.hourly_events(spark, folder), ["load", "wind_speed"], 24)
-
-
 @query()
 def null_time_sort(spark, folder):
     """Lenient times: the orders whose status is open carry unreadable text."""

@@ -253,8 +253,6 @@ def oracle_sql() -> dict[str, str]:
     out["densify"] = with_(dense(), f"SELECT series_id, {stamp}, {raw} FROM dense")
     out["validate_input"] = with_(hourly("user_id"), """SELECT series_id, 'too_few_rows' AS rule,
       count(*) || ' rows; need at least 60' AS detail FROM hourly GROUP BY series_id HAVING count(*) < 60""")
-    out["validate_columns"] = """SELECT CAST(NULL AS VARCHAR) AS series_id, 'missing_columns' AS rule,
-      'missing: wind_speed; present: series_id, timestamp, load, temperature, humidity' AS detail"""
     out["null_time_sort"] = f"""SELECT o_orderkey, {OPEN_TEXT} AS "timestamp", round(o_totalprice, 6) AS load FROM orders
       ORDER BY 2 NULLS LAST"""
     out["rejects"] = f"""SELECT CASE WHEN {OPEN_TEXT} IS NULL THEN 'rejected' ELSE 'usable' END AS part,

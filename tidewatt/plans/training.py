@@ -46,18 +46,20 @@ def tune_forecaster(
     """(trial, params, val_mae) of every trial, best first.
 
     Trials are fitted on the training split and scored on the later
-    validation split. The training rows are assembled and written once, and
-    all trials are scored in one pass over the validation rows.
+    validation split. The training origins are written once and all trials
+    are scored in one pass over the validation rows.
     """
     scaler = forecast.fit_scaler(split_rows, keys) if scaler is None else scaler
     assembler = forecast.assembler()
 
     def rows(split: str) -> DataFrame:
         part = split_rows.where(F.col("split") == split)
-        made = forecast.training_frame(part, scaler, keys, step=step, origin_stride=origin_stride)
-        return assembler.transform(made).select(*keys, "inputs", "label")
+        origins = forecast.origin_frame(part, scaler, keys, origin_stride=origin_stride)
+        if split == "train":
+            origins = stage(origins, "origins")
+        return assembler.transform(forecast.step_rows(origins, step)).select(*keys, "inputs", "label")
 
-    train = stage(rows("train"), "train-rows")
+    train = rows("train")
     points = search_points(trials, seed)
     models = [forecast.estimator(**p).fit(train) for p in points]
 
