@@ -1,6 +1,7 @@
 import pytest
 
 from frames import noisy, pdf, series
+from tidewatt.errors import InputError, WindowError
 from tidewatt.plans import training
 from tidewatt.sources import artefacts, tables
 from tidewatt.operators import features, prepare
@@ -57,8 +58,10 @@ def test_search_and_training_job(spark, tmp_path):
     assert {"test_mae", "test_rmse", "test_smape"} <= logged
     again = artefacts.load_forecaster(spark, f"{tmp_path}/forecaster")
     assert again.keys == ["series_id"] and again.model.stages[-1].coefficients.size > 0
-    with pytest.raises(Exception, match="missing"):
+    with pytest.raises(InputError, match="missing"):
         training.train_forecaster(rows.drop("lag_1"))
+    with pytest.raises(WindowError, match="val data too short"):
+        training.train_forecaster(rows.limit(900))
 
 
 def test_validation_error_of_a_trial_is_its_model_error(spark):

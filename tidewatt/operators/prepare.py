@@ -124,6 +124,14 @@ def require_rows(df: DataFrame, length: int, keys: Sequence[str] = SERIES) -> No
         raise WindowError(f"not enough rows to form a window (need at least {length}, got {longest})")
 
 
+def require_sequences(split_rows: DataFrame, length: int = SEQUENCE_LENGTH, horizon: int = FORECAST_HORIZON) -> None:
+    """Raise when a split has no series long enough for one sequence."""
+    longest = {r["split"]: r["n"] for r in split_rows.groupBy("split").agg(F.max("split_n").alias("n")).collect()}
+    for split in ("train", "val", "test"):
+        if longest.get(split, 0) < length + horizon:
+            raise WindowError(f"{split} data too short: {longest.get(split, 0)} rows, need {length + horizon}")
+
+
 def window_cells(
     df: DataFrame, length: int = WINDOW_LENGTH, stride: int = WINDOW_STRIDE, pos: str = "pos", n: str = "n",
 ) -> DataFrame:

@@ -100,7 +100,7 @@ def profile(spark, folder):
 @query()
 def null_report(spark, folder):
     """On the spine joined without a fill, so that absent hours are nulls."""
-    return quality.null_report(axis.densify(driver_loads.hourly_events(spark, folder)))
+    return quality.null_report(axis.densify(driver_loads.written_hourly(spark, folder)))
 
 
 @query()
@@ -120,12 +120,12 @@ def collapse_ts(spark, folder):
 
 @query()
 def missing_hours(spark, folder):
-    return quality.missing_times(driver_loads.hourly_events(spark, folder))
+    return quality.missing_times(driver_loads.written_hourly(spark, folder))
 
 
 @query()
 def missing_hours_by_user(spark, folder):
-    return quality.missing_times(driver_loads.hourly_events(spark, folder, "user_id"))
+    return quality.missing_times(driver_loads.written_hourly(spark, folder, "user_id"))
 
 
 @query()
@@ -239,7 +239,7 @@ def lags(spark, folder):
 @query()
 def lags_with_gaps(spark, folder):
     """Lags count rows, not hours, where hours are absent."""
-    hourly = driver_loads.hourly_events(spark, folder, "user_id").select(*SERIES, TIME, "load")
+    hourly = driver_loads.written_hourly(spark, folder, "user_id").select(*SERIES, TIME, "load")
     return features.lags(hourly, (1, 24))
 
 
@@ -294,7 +294,7 @@ def load_heatmap(spark, folder):
 
 @query()
 def iqr_bounds(spark, folder):
-    return explore.iqr_bounds(driver_loads.dense_events(spark, folder))
+    return explore.iqr_bounds(stage(driver_loads.dense_events(spark, folder), "dense"))
 
 
 @query()
@@ -325,7 +325,7 @@ def zscore_filter(spark, folder):
 
 @query()
 def row_index(spark, folder):
-    hourly = driver_loads.hourly_events(spark, folder, "user_id").select(*SERIES, TIME, "load")
+    hourly = driver_loads.written_hourly(spark, folder, "user_id").select(*SERIES, TIME, "load")
     return axis.with_position(hourly)
 
 

@@ -39,13 +39,17 @@ def hourly_events(spark: SparkSession, folder: str, key: str = "event_type") ->
     return _series(table(spark, folder, "events"), key, "ts", "hour", "value")
 
 
-def dense_events(spark: SparkSession, folder: str, key: str = "event_type") -> DataFrame:
-    """Every hour of the whole table for every series, absent hours as 0.
+def written_hourly(spark: SparkSession, folder: str, key: str = "event_type") -> DataFrame:
+    """The hourly table, written for jobs that pass over it more than once.
 
-    The hourly table is written first: it is far smaller than the events,
-    which are then scanned once and not again for the range of the axis.
+    It is far smaller than the events, which are then scanned only once.
     """
-    hourly = stage(hourly_events(spark, folder, key), "hourly")
+    return stage(hourly_events(spark, folder, key), "hourly")
+
+
+def dense_events(spark: SparkSession, folder: str, key: str = "event_type") -> DataFrame:
+    """Every hour of the whole table for every series, absent hours as 0."""
+    hourly = written_hourly(spark, folder, key)
     bounds = axis.global_bounds(axis.series_bounds(hourly))
     return axis.densify(hourly, fill=FILL, bounds=bounds)
 

@@ -92,6 +92,7 @@ def train_forecaster(
     needed = [*FEATURE_COLUMNS, TARGET_COLUMN]
     quality.require_columns(features, needed)
     split_rows = stage(prepare.chrono_split(features.select(*keys, TIME, *needed), keys, step=step), "split-rows")
+    prepare.require_sequences(split_rows)
     scaler = forecast.fit_scaler(split_rows, keys)
     params: dict = {}
     if run_search:
