@@ -291,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"mean_by_{name}"] = with_(dense(), f""", p AS (SELECT *, {PARTS} FROM dense)
           SELECT series_id, {part}, round(avg(load), 7) AS mean_load FROM p GROUP BY ALL""")
     out["mean_by_month"] = with_(dense_days(), f""", p AS (SELECT *, {PARTS} FROM dense)
-      SELECT series_id, month, round(avg(load), 3) AS mean_load FROM p GROUP BY ALL""")
+      SELECT series_id, month, round(avg(load), 5) AS mean_load FROM p GROUP BY ALL""")
     cells = ", ".join(f"round(avg(load) FILTER (WHERE day_of_week = {i}), 7) AS \"{d}\"" for i, d in enumerate(DAY_NAMES))
     out["load_heatmap"] = with_(dense(), f""", p AS (SELECT *, {PARTS} FROM dense)
       SELECT series_id, hour, {cells} FROM p GROUP BY series_id, hour""")
