@@ -157,9 +157,9 @@ def whole_runs(first: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.arange(total - n + 1) + n <= stop[:total - n + 1]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of Arrow batches with a bounded number of text bytes, with those bytes and the rows' offsets."""
     for batch in batches:
         data, offsets = utf8(batch.column(column))
-        for low, high in chunked(offsets):
+        for low, high in chunked(offsets, limit):
             yield batch.slice(low, high - low), data, offsets[low:high + 1]

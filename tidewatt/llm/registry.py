@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatt.llm import mixing, sharding, tokens
+from tidewatt.llm import decontaminate, language, mixing, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": tokens.op1_token_files,
+    "op2_quality": quality.op2_quality,
     "op6_hilbert_shards": sharding.op6_hilbert_shards,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_language_id": language.op9_language_id,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
