@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside one Arrow batch.
 CHUNK_BYTES = 1 << 20
+#: A bitmap is made in 2 ** BLOCK_BITS blocks.
+BLOCK_BITS = 8
 
 _rng = np.random.default_rng(20240601)
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,6 +160,32 @@ def whole_runs(first: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.arange(total - n + 1) + n <= stop[:total - n + 1]
 
 
+class Bitmap:
+    """Set of keys that may hold others too; its size does not depend on them."""
+
+    def __init__(self, keys: DataFrame, bits: int) -> None:
+        """``keys`` has key. Blocks of the bitmap are made by tasks; all of them together are 2 ** bits / 8 bytes."""
+        self.bits = bits
+        inner = bits - BLOCK_BITS
+
+        def fill(block: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part = np.zeros(1 << inner, bool)
+            for frame in frames:
+                part[frame["bit"].to_numpy()] = True
+            yield pd.DataFrame({"block": [block[0]], "part": [np.packbits(part).tobytes()]})
+
+        place = F.shiftrightunsigned("key", 64 - bits)
+        rows = keys.select(F.shiftright(place, inner).cast("int").alias("block"), place.bitwiseAND((1 << inner) - 1).alias("bit"))
+        self.map = np.zeros((1 << BLOCK_BITS, (1 << inner) // 8), np.uint8)
+        for r in rows.groupBy("block").applyInPandas(fill, "block int, part binary").collect():
+            self.map[r["block"]] = np.frombuffer(r["part"], np.uint8)
+        self.map = self.map.reshape(-1)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        place = keys >> np.uint64(64 - self.bits)
+        return (self.map[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of Arrow batches with a bounded number of text bytes, with those bytes and the rows' offsets."""
     for batch in batches:

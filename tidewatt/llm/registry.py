@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatt.llm import decontaminate, language, mixing, quality, sharding, tokens
+from tidewatt.llm import decontaminate, language, mixing, neardup, quality, sharding, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": tokens.op1_token_files,
     "op2_quality": quality.op2_quality,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_substrings": substrings.op5_substrings,
     "op6_hilbert_shards": sharding.op6_hilbert_shards,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op9_language_id": language.op9_language_id,

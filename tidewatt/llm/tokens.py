@@ -17,8 +17,10 @@ executor leaves at most files that no manifest names.
 
 Encoding: a text is parted before each single space between two characters
 that are not white space. Every piece of the byte-level pre-tokenizer ends
-there, so the ids of the parts, joined, are the ids of the whole text; parts
-recur, so each is encoded once for as long as a bounded table holds it.
+there, so the ids of the parts, joined, are the ids of the whole text. Parts
+and their pieces recur, so each is encoded once for as long as a bounded table
+holds it: pieces of plain letters and signs by the library's model, any other
+part by the whole tokenizer.
 
 Defined results: a null text is empty and has just the end id; null doc_ids
 come first; rows that repeat a doc_id are ordered by their text's hash and
@@ -51,11 +53,14 @@ END_ID = 2
 LENGTH = 2048
 SEQUENCES = 256
 #: Parts that a worker keeps encoded, and the longest part that it keeps.
-KEPT_PARTS = 250_000
-KEPT_LENGTH = 48
+KEPT_PARTS = 400_000
+KEPT_LENGTH = 32
 
-_ODD_SPACE = re.compile(r" (?=\s|\Z)|(?<=\s) |\A ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters and signs of which the pre-tokenizer's pieces are sure without its tables of Unicode.
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf" ?(?:[{_LETTERS}]+|[{_SIGNS}]+)(?:[{_LETTERS}]+|[{_SIGNS}]+|\n(?!\n))*")
+_PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
 _coders: dict[str, Coder] = {}
 
 
@@ -68,6 +73,33 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _OddSpace(Exception):
+    """A part begins or ends with white space, so the text can't be parted at every space."""
+
+
+class _Known(dict):
+    """Codes of parts; a part that is asked for the first time is encoded. ``lead`` stands before each."""
+
+    def __init__(self, code: Callable[[str], bytes], lead: str) -> None:
+        super().__init__()
+        self.code, self.lead = code, lead
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _OddSpace
+        code = self.code(self.lead + part)
+        if len(part) <= KEPT_LENGTH:
+            self[part] = code
+        return code
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes themselves, the others 256 and up."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in shown else next(rest) for b in range(256)}
+
+
 class Coder:
     """Encodes texts with one vocabulary; ids are the bytes of numbers of a fixed width."""
 
@@ -75,34 +107,49 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(vocabulary_file(vocabulary))
-        self.model.encode_special_tokens = True
-        self.kind = "H" if self.model.get_vocab_size() <= 1 << 16 else "I"
+        self.whole = Tokenizer.from_file(vocabulary_file(vocabulary))
+        self.whole.encode_special_tokens = True
+        self.model = self.whole.model
+        self.kind = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
-        self.parted = (self.model.pre_tokenizer is not None and "ByteLevel" in repr(self.model.pre_tokenizer) and self.model.normalizer is None)
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        cut = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        if len(cut) > 1:
-            cut[1:] = [" " + x for x in cut[1:]]
-        return cut
+        self.parted = self.whole.normalizer is None and "ByteLevel(add_prefix_space=False" in repr(self.whole.pre_tokenizer) and "use_regex=True" in repr(self.whole.pre_tokenizer)
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.first, self.later = _Known(self.part, ""), _Known(self.part, " ")
+
+    def by_library(self, text: str) -> bytes:
+        return array(self.kind, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, part: str) -> bytes:
+        """Ids of a part: of each of its pieces by the library's model, where the pieces are plain."""
+        if not _PLAIN.fullmatch(part):
+            return self.by_library(part)
+        out = []
+        for piece in _PIECES.findall(part):
+            code = self.pieces.get(piece)
+            if code is None:
+                shown = piece.encode().decode("latin-1").translate(self.letters)
+                code = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
+                if len(piece) <= KEPT_LENGTH:
+                    self.pieces[piece] = code
+            out.append(code)
+        return b"".join(out)
+
+    def text(self, text: str) -> bytes:
+        if not self.parted or not text:
+            return self.by_library(text)
+        parts = text.split(" ")
+        try:
+            return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        except _OddSpace:
+            first, *later = _CUT.split(text)
+            return b"".join([self.part(first), *(self.part(" " + p) for p in later)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) if self.parted else [t] for t in texts]
-        known = self.known
-        new = list({p for parts in split for p in parts if p not in known})
-        for low in range(0, len(new), 4096):
-            some = new[low:low + 4096]
-            for part, code in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[part] = array(self.kind, code.ids).tobytes()
-        out = [b"".join([known[p] for p in parts]) for parts in split]
-        if len(known) > KEPT_PARTS:
-            known.clear()
-        for part in new:
-            if len(part) > KEPT_LENGTH:
-                known.pop(part, None)
+        out = [self.text(t) for t in texts]
+        for known in (self.first, self.later, self.pieces):
+            if len(known) > KEPT_PARTS:
+                known.clear()
         return out
 
 
