@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatt.llm import decontaminate, language, mixing, neardup, quality, sharding, substrings, tokens
+from tidewatt.llm import decontaminate, language, mixing, neardup, quality, sharding, substrings, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": tokens.op1_token_files,
     "op2_quality": quality.op2_quality,
+    "op3_top_k": topk.op3_top_k,
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_substrings": substrings.op5_substrings,
     "op6_hilbert_shards": sharding.op6_hilbert_shards,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_top_k": topk.OP3_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
 }
