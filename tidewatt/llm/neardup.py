@@ -8,17 +8,21 @@ coordinates, the prefix, are merged; the other lists are skipped and looked
 up in the signature. In a merged list two classes are compared
 
 * only if no earlier coordinate of the prefix has brought them together, and
-* are retained if they collide on at least ``MATCHES`` of all 320 coordinates
-  (the rest of the signature is kept in single bytes).
+* are retained if at least 40 coordinates collide (those of the skipped lists
+  are compared by their last byte).
+
+A list emits no more retained pairs than connect its classes, so rows grow
+with the lists and not with their squares. The components of retained pairs
+are clusters. The full sets of a cluster are sent to its tasks once, together
+with a longer signature of 320 bytes; pairs that collide on at least
+``MATCHES`` of those are confirmed on the sets, unless confirmed links connect
+the two already, which leaves the components as they are.
 
 With a similarity of 0.85, fewer than 40 of 64 collisions have a chance of
 about 2 in a million, fewer than 240 of 320 of less than 1 in a million.
 
-Long lists are cut into chunks that meet in pairs, in tasks of their own.
-Retained pairs are put into clusters; each cluster's full sets are sent to
-its tasks once, and a pair is confirmed on them unless its two classes are
-connected by confirmed links already, which leaves the components the same.
-Nothing but ids is ever emitted for a pair, and no pair within one class.
+Long lists and large clusters are cut into chunks that meet in pairs, in tasks
+of their own. No pair within one class is ever made.
 
 Defined results: null texts and texts without words have an empty set, are
 linked with nothing and are their own component; texts of fewer than five
@@ -47,7 +51,7 @@ AGREE = 40
 PREFIX = COORDINATES - AGREE + 1
 EXTRA = 256
 MATCHES = 240
-CHUNK = 1024
+CHUNK = 4096
 SET_CHUNK = 256
 BITMAP_BITS = 24
 
@@ -73,11 +77,11 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(np.uint64(two).view(np.int64))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Least value of each coordinate's hash over the set."""
-    low = np.full(len(_FACTOR), 0xFFFFFFFF, np.uint32)
+def signature(shingles: np.ndarray, size: int = COORDINATES) -> np.ndarray:
+    """Least value of each of the first ``size`` coordinates' hashes over the set."""
+    low = np.full(size, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(shingles), 256):
-        some = shingles[at:at + 256, None] * _FACTOR + _TERM
+        some = shingles[at:at + 256, None] * _FACTOR[:size] + _TERM[:size]
         low = np.minimum(low, (some >> np.uint64(32)).astype(np.uint32).min(0))
     return low
 
@@ -130,55 +134,79 @@ def _matrix(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
+class _Union:
+    """Which classes are connected so far."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """False if they were connected."""
+        a, b = self.find(a), self.find(b)
+        self.up[a] = b
+        return a != b
+
+
+def _pairs_table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(v, pa.int64()) for v in zip(*pairs, strict=True)], names=["a", "b"])
+
+
+def _sides(chunk: np.ndarray, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place of chunk i and the places of chunk j that it is compared with; each pair once."""
+    right = np.flatnonzero(chunk == j)
+    for k, a in enumerate(np.flatnonzero(chunk == i).tolist()):
+        yield a, right[k + 1:] if i == j else right
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of one list (or of two chunks of it) that are retained."""
-    rest_width = COORDINATES + EXTRA - PREFIX
+    """Of the pairs of one list (or of two chunks of it) that are retained, as many as connect what all of them do."""
     for group in _groups(batches, ["list", "i", "j"]):
         if group.num_rows < 2:
             continue
-        own, chunk = group.column("class").to_numpy(), group.column("chunk").to_numpy()
-        prefix, rest = _matrix(group.column("prefix"), np.uint32, PREFIX), _matrix(group.column("rest"), np.uint8, rest_width)
-        coordinate, i, j = int(group.column("list")[0].as_py()) >> 32, group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        one, two = [], []
-        for k, a in enumerate(left.tolist()):
-            others = right[k + 1:] if i == j else right
+        own, i, j = group.column("class").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        prefix, rest = _matrix(group.column("prefix"), np.uint32, PREFIX), _matrix(group.column("rest"), np.uint8, COORDINATES - PREFIX)
+        coordinate, union, links = int(group.column("list")[0].as_py()) >> 32, _Union(), []
+        for a, others in _sides(group.column("chunk").to_numpy(), i, j):
             if coordinate:
                 others = others[~(prefix[others, :coordinate] == prefix[a, :coordinate]).any(1)]
-            if len(others):
-                same = (prefix[others] == prefix[a]).sum(1) + (rest[others] == rest[a]).sum(1)
-                others = others[(same >= MATCHES) & (own[others] != own[a])]
-                one.append(np.full(len(others), own[a]))
-                two.append(own[others])
-        if one:
-            a, b = np.concatenate(one), np.concatenate(two)
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            if not len(others):
+                continue
+            same = (prefix[others] == prefix[a]).sum(1) + (rest[others] == rest[a]).sum(1)
+            links += [(int(own[a]), int(own[b])) for b in others[same >= AGREE] if union.join(own[a], own[b])]
+        if links:
+            yield _pairs_table(links)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one cluster (or of two chunks of it): its rows are first the sets, then the pairs."""
+    """Of the links within one cluster (or between two chunks of it), as many as connect what all of them do."""
     for group in _groups(batches, ["cluster", "i", "j"]):
-        sets, root, links = {}, {}, []
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b, shingles in zip(group.column("a").to_pylist(), group.column("b").to_pylist(), group.column("shingles").to_pylist(), strict=True):
-            if b is None:
-                sets[a] = np.frombuffer(shingles, np.uint64)
-                continue
-            x, y = sets[a], sets[b]
-            if find(a) == find(b) or min(len(x), len(y)) * 100 < max(len(x), len(y)) * PERCENT:
+        own, i, j = group.column("class").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        signs = _matrix(group.column("signs"), np.uint8, COORDINATES + EXTRA)
+        union, links = _Union(), []
+        for a, others in _sides(group.column("chunk").to_numpy(), i, j):
+            low, high = np.minimum(size[others], size[a]), np.maximum(size[others], size[a])
+            others = others[low * 100 >= high * PERCENT]
+            if not len(others):
                 continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                links.append((a, b))
-                root[find(a)] = find(b)
+            alike = (signs[others] == signs[a]).sum(1)
+            for b, n in sorted(zip(others.tolist(), alike.tolist(), strict=True), key=lambda x: -x[1]):
+                if n < MATCHES:
+                    break
+                if union.find(own[a]) == union.find(own[b]):
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= PERCENT * (size[a] + size[b] - both) and union.join(own[a], own[b]):
+                    links.append((int(own[a]), int(own[b])))
         if links:
-            yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*links, strict=True)], names=["a", "b"])
+            yield _pairs_table(links)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,22 +263,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(Bitmap(clusters.select(F.xxhash64("lead").alias("key")), BITMAP_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches):
+        for part, _, _ in slices(batches):
             held = shared.value.holds(part.column("key").to_numpy().view(np.uint64))
-            some = part.filter(pa.array(held))
-            if some.num_rows:
-                for few, text, at in slices([some.select(["text"])]):
-                    shingles = list(shingle_sets(text, at))
-                    named = [digest(s) for s in shingles]
-                    yield pa.record_batch([pa.array([d[0] for d in named], pa.int64()), pa.array([d[1] for d in named], pa.int64()), pa.array([s.tobytes() for s in shingles], pa.binary())], names=["d1", "d2", "shingles"])
-
-    full = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(sets, "d1 long, d2 long, shingles binary")
-    full = _pairs(clusters.join(full, ["d1", "d2"]).select("cluster", "chunk", "chunks", F.col("class").alias("a"), F.lit(None).cast("long").alias("b"), "shingles"))
-    place = clusters.select("class", "cluster", "chunk")
-    routed = pairs.join(place.withColumnsRenamed({"class": "a", "chunk": "x"}), "a").join(place.select(F.col("class").alias("b"), F.col("chunk").alias("y")), "b")
-    routed = routed.select("cluster", "a", "b", F.lit(None).cast("binary").alias("shingles"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
-    work = full.select("cluster", "a", "b", "shingles", "i", "j").unionByName(routed).repartition("cluster", "i", "j")
-    links = stage(work.sortWithinPartitions("cluster", "i", "j", F.col("b").asc_nulls_first()).mapInArrow(_confirm, "a long, b long"), "confirmed")
+            for _, text, at in slices([part.filter(pa.array(held)).select(["text"])]):
+                shingles = list(shingle_sets(text, at))
+                named = [digest(x) for x in shingles]
+                signs = [signature(x, COORDINATES + EXTRA).astype(np.uint8).tobytes() for x in shingles]
+                yield pa.record_batch([*(pa.array([d[k] for d in named], pa.int64()) for k in (0, 1)), pa.array([x.tobytes() for x in shingles], pa.binary()), pa.array(signs, pa.binary())], names=["d1", "d2", "shingles", "signs"])
+
+    full = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(sets, "d1 long, d2 long, shingles binary, signs binary")
+    full = clusters.join(full, ["d1", "d2"]).select("cluster", "chunk", "chunks", "class", "shingles", "signs")
+    links = _pairs(full).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm, "a long, b long")
+    links = stage(links, "confirmed")
 
     linked = stage(components(links).join(classes.select(F.col("class").alias("id"), "lead"), "id"), "linked")
     least = linked.groupBy("label").agg(F.min("lead").alias("least"))

@@ -9,7 +9,7 @@ words meet in one shard:
 1. Every window has a key: the least hash of the runs of 18 words in it. Equal
    windows have equal keys. Consecutive windows with one key make a span.
    Counting the places of the keys' runs over all documents leaves the keys
-   that lie at two places or more; they are broadcast as a bitmap of fixed
+   that lie at two places or more; they are broadcast as a bitmap of bounded
    size, which may let more through but loses none.
 2. Spans of those keys are written, and put together where they are equal,
    with their number. The spans of a key are a reference shard.
@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewatt.llm.common import SPACED, Bitmap, Words, gram_hashes, read_table, slices, split_words, text_key, whole_runs, word_hashes
+from tidewatt.llm.common import SPACED, Bitmap, Words, gram_hashes, read_table, slices, split_words, stage_packed, text_key, whole_runs, word_hashes
 from tidewatt.session import stage
 
 LENGTH = 35
 RUN = 18
-#: Bits of the bitmap of repeated keys (2 ** 27: 16 MB).
-KEY_BITS = 27
+#: The bitmap of repeated keys has 64 bits for each of them, but no more than 2 ** KEY_BITS (128 MB).
+KEY_BITS = 30
 SHARD_SPANS = 64
 #: Windows of one span; a longer run of windows with one key (text that repeats itself) is cut.
 SPAN_WINDOWS = 64
@@ -203,12 +203,21 @@ _RUNS = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 def _match(length: int):
     """Streams each shard (rows of one key, next to each other) through its automaton."""
 
-    def shard(key: int, spans: list[dict]) -> pa.RecordBatch:
-        made, split = Automaton(), [s["words"].split(" ") for s in spans]
+    def found(spans: list[dict]) -> list[list[tuple[int, int]]]:
+        split = [s["words"].split(" ") for s in spans]
+        if len(spans) == 1:  # every state of such an automaton has the span's places, and more only if words recur
+            if spans[0]["n"] > 1:
+                return [[(0, len(split[0]))]]
+            if len(set(split[0])) == len(split[0]):
+                return [[]]
+        made = Automaton()
         for words, span in zip(split, spans, strict=True):
             made.add(words, span["n"])
         made.count()
-        runs = [[{"low": low, "high": high} for low, high in made.repeated(words, length)] for words in split]
+        return [made.repeated(words, length) for words in split]
+
+    def shard(key: int, spans: list[dict]) -> pa.RecordBatch:
+        runs = [[{"low": low, "high": high} for low, high in own] for own in found(spans)]
         return pa.record_batch([pa.array([key] * len(spans), pa.int64()), *(pa.array([s[c] for s in spans], pa.int64()) for c in ("c1", "c2")), pa.array(runs, _RUNS)], names=["key", "c1", "c2", "runs"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +244,12 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, run: int = RUN, bits: i
     """doc_id, k1, k2 (the text's key) and runs (word numbers from, to) of all rows that lose words."""
     spark = docs.sparkSession
     counted = docs.select("text").mapInArrow(_key_counts(length, run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    shared = spark.sparkContext.broadcast(Bitmap(counted.filter("n > 1"), bits))
+    keys = stage(counted.filter("n > 1").select("key"), "keys")
+    bits = min(bits, max(20, (64 * keys.count()).bit_length()))
+    shared = spark.sparkContext.broadcast(Bitmap(keys, bits))
     spans = docs.select("doc_id", *text_key(), "text").mapInArrow(_spans(shared, length, run), "doc_id long, k1 long, k2 long, key long, at long, words string")
-    spans = stage(spans.withColumns({"c1": F.xxhash64("words"), "c2": F.xxhash64(F.lit(1), "words")}), "spans")
-    distinct = stage(spans.groupBy("key", "c1", "c2", "words").agg(F.count(F.lit(1)).alias("n")), "distinct-spans")
+    spans = stage_packed(spans.withColumns({"c1": F.xxhash64("words"), "c2": F.xxhash64(F.lit(1), "words")}), "spans")
+    distinct = stage_packed(spans.groupBy("key", "c1", "c2", "words").agg(F.count(F.lit(1)).alias("n")), "distinct-spans")
     large = stage(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "shards")
     small = distinct.join(large.filter(F.col("m") <= shard_spans).select("key"), "key", "left_semi").select("key", "c1", "c2", "words", "n")
     found = small.repartition("key").sortWithinPartitions("key").mapInArrow(_match(length), f"key long, c1 long, c2 long, runs {RUNS}")
@@ -247,7 +258,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, run: int = RUN, bits: i
     starts = F.sequence(F.lit(0), F.size(list_) - length)
     window = F.transform(starts, lambda i: F.struct(i.alias("low"), F.array_join(F.slice(list_, i + 1, length), " ").alias("window")))
     cut = cut.select("key", "c1", "c2", "n", F.explode(window).alias("w")).select("key", "c1", "c2", "n", "w.low", "w.window")
-    cut = stage(cut.withColumns({"w1": F.xxhash64("window"), "w2": F.xxhash64(F.lit(1), "window")}), "windows")
+    cut = stage_packed(cut.withColumns({"w1": F.xxhash64("window"), "w2": F.xxhash64(F.lit(1), "window")}), "windows")
     often = cut.groupBy("key", "window", "w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("key", "w1", "w2")
     cut = cut.join(often, ["key", "w1", "w2"], "left_semi").groupBy("key", "c1", "c2").agg(
         F.collect_set(F.struct("low", (F.col("low") + length).alias("high"))).alias("runs"))
