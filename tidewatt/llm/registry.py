@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatt.llm import decontaminate, language, mixing, neardup, quality, sharding, substrings, tokens, topk
+from tidewatt.llm import decontaminate, extract, language, mixing, neardup, quality, sharding, substrings, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": tokens.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substrings": substrings.op5_substrings,
     "op6_hilbert_shards": sharding.op6_hilbert_shards,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_extract": extract.op8_extract,
     "op9_language_id": language.op9_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
