@@ -54,6 +54,8 @@ MATCHES = 240
 CHUNK = 4096
 SET_CHUNK = 256
 BITMAP_BITS = 24
+#: Text bytes that are worked on at once.
+PART_BYTES = 1 << 18
 
 _rng = np.random.default_rng(77)
 _FACTOR = _rng.integers(1, 2**63, COORDINATES + EXTRA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,7 +89,7 @@ def signature(shingles: np.ndarray, size: int = COORDINATES) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in slices(batches):
+    for rows, data, offsets in slices(batches, limit=PART_BYTES):
         n, one, two, prefix, rest = [], [], [], [], []
         for shingles in shingle_sets(data, offsets):
             d = digest(shingles)
@@ -263,7 +265,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(Bitmap(clusters.select(F.xxhash64("lead").alias("key")), BITMAP_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, _ in slices(batches):
+        for part, _, _ in slices(batches, limit=PART_BYTES):
             held = shared.value.holds(part.column("key").to_numpy().view(np.uint64))
             for _, text, at in slices([part.filter(pa.array(held)).select(["text"])]):
                 shingles = list(shingle_sets(text, at))

@@ -53,7 +53,7 @@ END_ID = 2
 LENGTH = 2048
 SEQUENCES = 256
 #: Parts that a worker keeps encoded, and the longest part that it keeps.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 100_000
 KEPT_LENGTH = 32
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
