@@ -53,7 +53,8 @@ def profile_errors(
     """Mean absolute error of each window against the profile.
 
     A row is reduced to one number before the windows are grouped, so only
-    (window, partial sum) pairs are shuffled. ``model_keys`` are the keys the
+    (window, partial sum) pairs are shuffled. A window with a null in any of
+    its cells, or without a profile, has no error (null). ``model_keys`` are the keys the
     profile was fitted by, all of ``keys`` unless given.
     """
     model_keys = list(keys if model_keys is None else model_keys)
@@ -62,7 +63,7 @@ def profile_errors(
     gap = F.expr(" + ".join(f"abs(`{c}` - `profile_{c}`)" for c in columns))
     return wide.groupBy(*keys, "window_id").agg(
         F.min(time).alias("start_ts"), F.max(time).alias("end_ts"),
-        (F.sum(gap) / F.lit(length * len(columns))).alias("error"))
+        F.when(F.count(gap) == length, F.sum(gap) / F.lit(length * len(columns))).alias("error"))
 
 
 def mean_profile_model(profile: np.ndarray) -> Callable:

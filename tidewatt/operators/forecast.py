@@ -16,6 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..errors import InputError
 from ..functions import calendar
@@ -147,8 +148,8 @@ def naive_pairs(
     w = axis.chunk_window(part)
     lagged = w.rowsBetween(-(SEQUENCE_LENGTH - 1), horizon - SEQUENCE_LENGTH)
     both = axis.drop_chunks(chunked.withColumns({
-        "_next": F.collect_list("_v").over(w.rowsBetween(1, horizon)),
-        "_past": F.collect_list("_v").over(lagged),
+        "_next": _with_nulls("_v", w.rowsBetween(1, horizon)),
+        "_past": _with_nulls("_v", lagged),
     })).where(_whole_origin(horizon)).withColumnRenamed(time, "origin_ts")
 
     def long(column: str, name: str) -> DataFrame:
@@ -158,6 +159,11 @@ def naive_pairs(
     return long("_next", "y"), long("_past", "yhat")
 
 
+def _with_nulls(column: str, window: WindowSpec) -> Column:
+    """The values of a window in order; a null keeps its place, so that steps stay aligned."""
+    return F.transform(F.collect_list(F.struct(F.col(column).alias("v"))).over(window), lambda s: s["v"])
+
+
 def _whole_origin(horizon: int) -> Column:
     return (F.col("split_pos") >= SEQUENCE_LENGTH - 1) & (F.col("split_pos") + horizon < F.col("split_n"))
 
@@ -177,7 +183,8 @@ def origin_frame(
     """One row per origin: scaled inputs, ``label`` and the earlier loads as
     arrays of ``horizon`` values.
 
-    Origins need 168 input rows and ``horizon`` targets inside their split.
+    Origins need 168 input rows and ``horizon`` targets inside their split, and
+    no null among the loads that they use.
     ``origin_stride`` above 1 keeps every k-th origin only. All shuffling is
     done here; ``step_rows`` unfolds the arrays without any.
     """
@@ -192,6 +199,8 @@ def origin_frame(
     for k, name in zip(REFERENCES, REFERENCE_COLUMNS):
         frames[name] = F.collect_list(TARGET_COLUMN).over(w.rowsBetween(1 - k, horizon - k))
     origins = axis.drop_chunks(chunked.withColumns(frames)).where(_whole_origin(horizon))
+    for name in frames:  # a null load shortens the array; such an origin has no aligned label
+        origins = origins.where(F.size(name) == horizon)
     if origin_stride > 1:
         origins = origins.where(F.col("split_pos") % origin_stride == 0)
     return origins.select(*part, F.col(time).alias("origin_ts"), *FEATURE_COLUMNS, *frames)

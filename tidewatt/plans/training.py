@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 
@@ -29,6 +30,10 @@ SEARCH_SPACE = {
 
 def search_points(trials: int = TRIALS, seed: int = 42) -> list[dict]:
     """Distinct random draws from the search space, the same for a seed."""
+    others = math.prod(len(v) for k, v in SEARCH_SPACE.items() if k not in ("loss", "epsilon"))
+    distinct = others * sum(len(SEARCH_SPACE["epsilon"]) if loss == "huber" else 1 for loss in SEARCH_SPACE["loss"])
+    if trials > distinct:
+        raise ValueError(f"{trials} trials asked for, but the search space has {distinct} points")
     draw, points = random.Random(seed), []
     while len(points) < trials:
         point = {k: draw.choice(v) for k, v in SEARCH_SPACE.items()}

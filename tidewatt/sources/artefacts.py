@@ -28,8 +28,9 @@ def write_record(spark: SparkSession, record: dict, path: str, mode: str = "over
     spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode(mode).text(path)
 
 
-def read_record(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def read_record(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """Records with one JSON object a line; ``multi_line`` for files that hold one object over several lines."""
+    reader = spark.read.option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
