@@ -6,6 +6,7 @@ hashing words costs a few numpy passes and no Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -195,9 +196,21 @@ class Bitmap:
         return (self.map[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on from task to task and would keep its largest batch's."""
+    pa.default_memory_pool().release_unused()
+    if _trim:  # not every C library has it
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of Arrow batches with a bounded number of text bytes, with those bytes and the rows' offsets."""
     for batch in batches:
         data, offsets = utf8(batch.column(column))
         for low, high in chunked(offsets, limit):
             yield batch.slice(low, high - low), data, offsets[low:high + 1]
+        del batch, data, offsets
+        give_back()

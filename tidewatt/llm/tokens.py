@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatt.llm.common import chunked, partitions, read_table, utf8
+from tidewatt.llm.common import chunked, give_back, partitions, read_table, utf8
 from tidewatt.session import scratch_path, stage
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -232,6 +232,8 @@ def _writer(folder: str, vocabulary: str, end_id: int, length: int, sequences: i
             for low, high in chunked(offsets):
                 texts = [t or "" for t in batch.column("text")[low:high].to_pylist()]
                 shard.add(batch.column("doc_id")[low:high].cast(pa.int64()), code.encode(texts), end)
+            del batch, offsets, texts, _
+            give_back()
         if shard:
             yield pa.RecordBatch.from_pylist([dict(zip([c.split(" ")[0] for c in MANIFEST.split(", ")], shard.close(), strict=True))], schema=pa.schema([
                 ("part", pa.int32()), ("path", pa.string()), ("index_path", pa.string()), ("n_documents", pa.int64()), ("n_tokens", pa.int64()), ("n_sequences", pa.int64())]))
