@@ -67,6 +67,20 @@ def test_attach_keeps_rows_without_parameters(spark, monkeypatch):
         assert hinted == (bound > 0)
 
 
+@pytest.mark.parametrize("salts", [1, 32])
+def test_salted_parameters_equal_broadcast_ones(spark, monkeypatch, salts):
+    df = series(spark, range(50)).unionByName(series(spark, range(20), "b")).unionByName(series(spark, [1, 2], None))
+    df = df.unionByName(df.limit(3)).withColumn("p_list", F.array("load", F.lit(None)))
+    params = spark.createDataFrame([("a", 7, None), ("c", 1, 2.0)], "series_id string, p int, q double")
+    want = axis.attach(df, params)
+    monkeypatch.setattr(axis, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(axis, "SALTS", salts)
+    got = axis.attach(df, params)
+    assert got.columns == want.columns and got.count() == 75
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert axis.attach(df.limit(0), params).isEmpty() and axis.attach(df, params.limit(0)).where("p IS NULL").count() == 75
+
+
 def test_time_shift_crosses_a_month_end(spark):
     df = spark.sql("SELECT timestamp '2024-02-28 20:00:00' AS t")
     assert df.select(axis.shift_time("t", F.lit(30)).cast("string")).first()[0] == "2024-03-01 02:00:00"

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -110,6 +112,44 @@ def test_extended_forecast_matches_a_hand_made_chain(spark, table, fitted):
     pd.testing.assert_series_equal(day["yhat"], first["yhat"])
 
 
+def test_chunk_windows_shuffle_by_chunk_behind_a_shuffled_parameter_join(spark, table, fitted, monkeypatch):
+    monkeypatch.setattr(forecast.axis, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = forecast.origin_frame(table, fitted.scaler)
+        # without the plan of the cached input
+        text = frame._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+        assert "BroadcastHashJoin" not in text
+        below = text.split("Window [", 1)[1]
+        assert re.search(r"Exchange hashpartitioning\((.*)", below).group(1).startswith("series_id")
+        assert re.search(r"Exchange hashpartitioning\([^)]*_chunk", below).start() < below.index("Join")
+        assert frame.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_every_day_of_the_chain_has_the_same_plan(table, fitted, monkeypatch):
+    joins = []
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return done(df)
+
+    done = forecast.cut
+    monkeypatch.setattr(forecast, "cut", counted)
+    forecast.run_extended_forecast(table, fitted)
+    assert len(joins) == 14 and set(joins[1::2]) == {1} and set(joins[2::2]) == {1}
+
+
+def test_naive_rows_equal_the_joined_pairs(table):
+    actual, predicted = forecast.naive_pairs(table)
+    joined = forecast.pair_forecasts(actual, predicted, ["series_id", "split"])
+    for rows in (4096, 211):
+        got = forecast.naive_pair_rows(table, chunk_rows=rows)
+        assert got.count() == joined.count() > 0 and got.select(joined.columns).exceptAll(joined).isEmpty()
+
+
 def test_forecast_without_a_time_axis(spark, table, fitted):
     plain = table.withColumn("row", F.col("pos")).drop("timestamp")
     got = pdf(forecast.run_extended_forecast(plain, fitted, time="row", has_time=False), "series_id", "step")

@@ -29,6 +29,8 @@ FAN = 4096
 # (32 MB of doubles).
 BROADCAST_ROWS = 100_000
 BROADCAST_VALUES = 4_000_000
+# Tasks over which one series is spread when its parameters are not broadcast.
+SALTS = 32
 
 
 def tick(time: str | Column = TIME, step: int = HOUR) -> Column:
@@ -200,9 +202,13 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = SERIES) -> Da
     """Put the parameters of a series (scaler, threshold, profile) on its rows.
 
     ``params`` has one row per series and should already be materialised: its
-    rows are counted here. A small one is broadcast and ``df`` is not shuffled; beyond that it is a shuffled join, in which
-    adaptive execution splits the partition of a long series. Rows of a series
-    without parameters are kept, with nulls.
+    rows are counted here. A small one is broadcast and ``df`` is not shuffled.
+    Beyond that rows are joined by (series, salt), where the salt is a hash of
+    the row and ``params`` is copied once per salt. A long series is then
+    spread over ``SALTS`` tasks, and since the salt is no column of the result,
+    what groups by chunk or window afterwards shuffles by its own keys instead
+    of keeping a whole series together. Rows of a series without parameters
+    are kept, with nulls.
     """
     keys = list(keys)
     if not keys:
@@ -210,5 +216,7 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = SERIES) -> Da
         return df.crossJoin(F.broadcast(params))
     bound = min(BROADCAST_ROWS, BROADCAST_VALUES // len(params.columns))
     if params.limit(bound + 1).count() <= bound:
-        params = F.broadcast(params)
-    return df.join(params, keys, "left")
+        return df.join(F.broadcast(params), keys, "left")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    copies = params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")

@@ -133,9 +133,19 @@ def seasonal_reference(
 
 def naive_pairs(
     df: DataFrame, horizon: int = FORECAST_HORIZON, value: str = TARGET_COLUMN,
-    keys: Sequence[str] = SERIES, time: str = TIME, step: int = HOUR,
+    keys: Sequence[str] = SERIES, time: str = TIME,
 ) -> tuple[DataFrame, DataFrame]:
-    """(actual, seasonal-naive) in long form for every origin of ``df``.
+    """(actual, seasonal-naive) in long form for every origin of ``df``, to be
+    put together by ``pair_forecasts`` like any other two."""
+    rows = naive_pair_rows(df, horizon, value, keys, time)
+    return rows.drop("yhat"), rows.drop("y")
+
+
+def naive_pair_rows(
+    df: DataFrame, horizon: int = FORECAST_HORIZON, value: str = TARGET_COLUMN,
+    keys: Sequence[str] = SERIES, time: str = TIME, chunk_rows: int = axis.CHUNK_ROWS,
+) -> DataFrame:
+    """Actual ``y`` and seasonal-naive ``yhat`` of every origin and step of ``df``, without a join.
 
     Needs ``split_pos`` / ``split_n`` (``prepare.chrono_split``): an origin
     counts when its 168 input rows and its targets lie in the same split.
@@ -143,20 +153,16 @@ def naive_pairs(
     part = [*keys, "split"]
     chunked = axis.with_chunks(
         df.select(*part, time, "split_pos", "split_n", F.col(value).cast("double").alias("_v")),
-        F.col("split_pos"), back=SEQUENCE_LENGTH - 1, ahead=horizon,
+        F.col("split_pos"), back=SEQUENCE_LENGTH - 1, ahead=horizon, chunk_rows=chunk_rows,
     )
     w = axis.chunk_window(part)
     lagged = w.rowsBetween(-(SEQUENCE_LENGTH - 1), horizon - SEQUENCE_LENGTH)
     both = axis.drop_chunks(chunked.withColumns({
-        "_next": _with_nulls("_v", w.rowsBetween(1, horizon)),
-        "_past": _with_nulls("_v", lagged),
+        "y": _with_nulls("_v", w.rowsBetween(1, horizon)),
+        "yhat": _with_nulls("_v", lagged),
     })).where(_whole_origin(horizon)).withColumnRenamed(time, "origin_ts")
-
-    def long(column: str, name: str) -> DataFrame:
-        return both.select(*part, "origin_ts", F.posexplode(column).alias("_p", name)).select(
-            *part, "origin_ts", (F.col("_p") + 1).alias("step"), name)
-
-    return long("_next", "y"), long("_past", "yhat")
+    long = both.select(*part, "origin_ts", F.posexplode(F.arrays_zip("y", "yhat")).alias("_p", "_t"))
+    return long.select(*part, "origin_ts", (F.col("_p") + 1).alias("step"), "_t.y", "_t.yhat")
 
 
 def _with_nulls(column: str, window: WindowSpec) -> Column:
@@ -347,7 +353,8 @@ def run_extended_forecast(
     (rounded) loads are appended, lags and rolling values are recomputed with
     population deviation, the calendar comes from the new times, holidays are
     0 and weather repeats the reference rows. Every day is one step over all
-    series and is checkpointed, so the plan does not grow.
+    series; its output and the state after it are checkpointed, so the plan
+    does not grow.
     """
     if strict:
         quality.validate(df, FEATURE_COLUMNS, MIN_ROWS_EXTENDED, fitted.keys)
@@ -356,9 +363,10 @@ def run_extended_forecast(
     first = states.select(*keys, F.col("origin_ts").alias("_first"))
     days = []
     for day in range(EXTENDED_HORIZON // FORECAST_HORIZON):
+        if day:
+            states = cut(_next_state(states, made, keys, has_time))
         made = cut(_predict_day(states, fitted, has_time))
         days.append(made.withColumn("step", F.col("step") + F.lit(day * FORECAST_HORIZON)))
-        states = _next_state(states, made, keys, has_time)
     chained = days[0]
     for made in days[1:]:
         chained = chained.unionByName(made)

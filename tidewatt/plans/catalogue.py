@@ -451,14 +451,14 @@ def weekday_names(spark, folder):
 
 
 def _pairs(spark, folder):
-    rows = _order_split(spark, folder)
-    actual, predicted = forecast.naive_pairs(rows, step=DAY)
-    return forecast.pair_forecasts(actual, predicted, [*SERIES, "split"])
+    return forecast.naive_pair_rows(_order_split(spark, folder))
 
 
 @query(2)
 def forecast_pairs(spark, folder):
-    return _pairs(spark, folder)
+    """Actual and predicted values from two tables, as with any outside prediction."""
+    actual, predicted = forecast.naive_pairs(_order_split(spark, folder))
+    return forecast.pair_forecasts(actual, predicted, [*SERIES, "split"])
 
 
 @query(3)
@@ -630,8 +630,7 @@ def forecaster_metrics(spark, folder):
     rows, fitted = _fitted(spark, folder)
     held = rows.where(F.col("split") != "train")
     made = report.forecast_metrics(forecast.predict_split(held, fitted), by=[*SERIES, "split"])
-    actual, predicted = forecast.naive_pairs(held, step=DAY)
-    naive = report.forecast_metrics(forecast.pair_forecasts(actual, predicted, [*SERIES, "split"]), by=[*SERIES, "split"])
+    naive = report.forecast_metrics(forecast.naive_pair_rows(held), by=[*SERIES, "split"])
     return made.withColumn("model", F.lit("fitted")).unionByName(naive.withColumn("model", F.lit("seasonal_naive")))
 
 
