@@ -184,10 +184,10 @@ def csv_roundtrip(spark, folder):
 
 @query()
 def raw_csv_clean(spark, folder):
-    """Raw file with source names: written, read, renamed, parsed, sorted."""
+    """Raw file with source names, of all series: written, read, renamed, parsed, sorted."""
     path = scratch_path(spark, "raw-csv")
     hourly = driver_loads.hourly_events(spark, folder)
-    tables.write_csv(hourly.where("series_id = 'view'").select(
+    tables.write_csv(hourly.select(
         F.date_format(TIME, "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.col("load").alias("nat_demand"),
         F.col("temperature").alias("T2M_toc"), F.col("humidity").alias("QV2M_toc")), path)
     return tables.clean_raw(tables.read_raw_csv(spark, path))
@@ -607,9 +607,9 @@ def anomaly_response(spark, folder):
 
 # --- fitted models (checked by tests, not by SQL) ---------------------------
 
-def _fitted(spark, folder, **regressor):
+def _fitted(spark, folder):
     rows = _order_split(spark, folder)
-    return rows, forecast.fit_forecaster(rows, step=DAY, regressor=forecast.estimator(**regressor))
+    return rows, forecast.fit_forecaster(rows, step=DAY)
 
 
 @query()
@@ -620,7 +620,7 @@ def forecast_ml_24(spark, folder):
 
 @query()
 def forecast_ml_168(spark, folder):
-    rows, fitted = _fitted(spark, folder, loss="squaredError")
+    rows, fitted = _fitted(spark, folder)
     return forecast.run_extended_forecast(rows, fitted)
 
 
@@ -636,7 +636,7 @@ def forecaster_metrics(spark, folder):
 
 @query()
 def tune_forecaster(spark, folder):
-    return training.tune_forecaster(_order_split(spark, folder), step=DAY, trials=6)
+    return training.tune_forecaster(_order_split(spark, folder), step=DAY)
 
 
 @query()

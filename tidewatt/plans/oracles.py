@@ -259,7 +259,7 @@ def oracle_sql() -> dict[str, str]:
       count(*) AS n_rows FROM orders GROUP BY ALL"""
     out["csv_roundtrip"] = out["hourly_series"]
     out["parquet_roundtrip"] = out["hourly_series"]
-    out["raw_csv_clean"] = with_(hourly(), f"SELECT {stamp}, {raw} FROM hourly WHERE series_id = 'view'")
+    out["raw_csv_clean"] = with_(hourly(), f"SELECT {stamp}, {raw} FROM hourly")
 
     out["calendar_parts"] = with_(dense(), f"""SELECT series_id, {stamp}, round(load, 6) AS load, {PARTS},
       CAST(day(t) AS INTEGER) AS day, CAST(year(t) AS INTEGER) AS year FROM dense""")

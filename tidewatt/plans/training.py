@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ from ..schema import DETECTOR_COLUMNS, FEATURE_COLUMNS, HOUR, SERIES, TARGET_COL
 from ..session import cut, stage
 from ..sources import artefacts
 
+# Trials of a search that are fitted at the same time.
+PARALLEL_FITS = 4
 # The values a search trial draws from.
 SEARCH_SPACE = {
     "loss": ["huber", "squaredError"],
@@ -54,6 +58,7 @@ def tune_forecaster(
     validation split. The training origins are written once and all trials
     are scored in one pass over the validation rows.
     """
+    spark = split_rows.sparkSession
     scaler = forecast.fit_scaler(split_rows, keys) if scaler is None else scaler
     assembler = forecast.assembler()
 
@@ -66,7 +71,8 @@ def tune_forecaster(
 
     train = rows("train")
     points = search_points(trials, seed)
-    models = [forecast.estimator(**p).fit(train) for p in points]
+    with ThreadPool(PARALLEL_FITS) as pool:
+        models = pool.map(inheritable_thread_target(spark)(lambda p: forecast.estimator(**p).fit(train)), points)
 
     low, high = f"min_{TARGET_COLUMN}", f"max_{TARGET_COLUMN}"
     val = axis.attach(rows("val"), scaler.select(*keys, low, high), keys)
