@@ -196,6 +196,8 @@ class Bitmap:
         return (self.map[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
+#: Tables that a worker keeps from task to task for one operator; they go when it comes to another's texts.
+KEPT_TABLES: list[dict] = []
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -208,6 +210,8 @@ def give_back() -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of Arrow batches with a bounded number of text bytes, with those bytes and the rows' offsets."""
+    for table in KEPT_TABLES:
+        table.clear()
     for batch in batches:
         data, offsets = utf8(batch.column(column))
         for low, high in chunked(offsets, limit):

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatt.llm.common import chunked, give_back, partitions, read_table, utf8
+from tidewatt.llm.common import KEPT_TABLES, chunked, give_back, partitions, read_table, utf8
 from tidewatt.session import scratch_path, stage
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,6 +62,7 @@ _LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\
 _PLAIN = re.compile(rf" ?(?:[{_LETTERS}]+|[{_SIGNS}]+)(?:[{_LETTERS}]+|[{_SIGNS}]+|\n(?!\n))*")
 _PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
 _coders: dict[str, Coder] = {}
+KEPT_TABLES.append(_coders)
 
 
 def vocabulary_file(name: str) -> str:
