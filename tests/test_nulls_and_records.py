@@ -35,6 +35,18 @@ def test_null_cell_leaves_no_error(spark):
     assert [r.error for r in out] == [None, 2.5]
 
 
+def test_unscored_windows_have_no_flag(spark):
+    errors = spark.createDataFrame([("a", 0, 2.0), ("a", 1, None), ("a", 2, 0.5), ("a", 3, float("nan")), ("b", 0, 9.0)], "series_id string, window_id long, error double")
+    limits = spark.createDataFrame([("a", 1.0, 0.5)], "series_id string, threshold double, std double")
+    for rule in ("excess", "sigma"):
+        flagged = anomaly.flag_windows(errors, limits, severity=rule).orderBy("series_id", "window_id")
+        assert [(r.is_anomaly, r.severity) for r in flagged.collect()] == [
+            (True, "high"), (None, None), (False, "normal"), (False, "normal"), (None, None)]
+    summary = anomaly.anomaly_summary(flagged).orderBy("series_id").collect()
+    assert [(r.n_windows, r.n_anomalies, r.n_unscored, r.anomaly_rate) for r in summary] == [(4, 1, 1, 33.33), (1, 0, 1, None)]
+    assert [r.normal for r in anomaly.severity_counts(flagged).orderBy("series_id").collect()] == [2, 0]
+
+
 def test_null_load_keeps_steps_aligned(spark):
     n = 200
     rows = [("s", "train", t, i, n, None if i == 180 else float(i)) for i, t in enumerate(hours(n))]

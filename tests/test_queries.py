@@ -12,6 +12,7 @@ QUICK = [
     "hourly_series", "null_report", "missing_hours_by_user", "densify", "feature_table", "feature_table_by_user",
     "load_heatmap", "iqr_bounds", "row_index", "chrono_split", "sequences", "overlapping_windows", "seasonal_naive_24",
     "forecast_metrics", "detect_flags", "full_analysis", "score_windows", "csv_roundtrip",
+    "null_cells_error", "null_load_pairs", "unknown_series_flags", "feature_table_chunks", "row_index_blocks", "sequences_chunks",
 ]
 NAMES = sorted(SQL) if os.environ.get("TIDEWATT_ALL_QUERIES") else QUICK
 
@@ -63,6 +64,12 @@ def test_scan_reads_only_what_it_needs(spark, folder):
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in text
 
 
+@pytest.mark.parametrize("name", ["last_168", "seasonal_naive_24", "extended_naive_168", "features_from"])
+def test_only_the_tail_is_read(spark, folder, name):
+    text = plan(entry.queries()[name](spark, folder))
+    assert "GreaterThanOrEqual(ts," in text
+
+
 def test_last_rows_are_limited_before_the_shuffle(spark, folder):
     text = plan(entry.queries()["last_168"](spark, folder))
     assert text.count("WindowGroupLimit") == 2

@@ -9,15 +9,18 @@ from ..schema import SERVED_CUTS, SIGMA_CUTS
 
 
 def is_above(error: str | Column, threshold: str | Column) -> Column:
-    """``error > threshold``; false, not true, for a NaN error."""
+    """``error > threshold``; false, not true, for a NaN error, and null without an error or a threshold."""
     error = F.col(error) if isinstance(error, str) else error
     threshold = F.col(threshold) if isinstance(threshold, str) else threshold
-    return F.coalesce((error > threshold) & ~F.isnan(error), F.lit(False))
+    return F.when(error.isNotNull(), (error > threshold) & ~F.isnan(error))
 
 
 def _levels(error: Column, threshold: Column, excess: Column, cuts: tuple[float, float]) -> Column:
+    """Null where there is no error or no threshold: such a window was not scored."""
+    above = is_above(error, threshold)
     return (
-        F.when(~is_above(error, threshold), "normal")
+        F.when(above.isNull(), F.lit(None).cast("string"))
+        .when(~above, "normal")
         .when(excess < F.lit(cuts[0]), "low")
         .when(excess < F.lit(cuts[1]), "medium")
         .otherwise("high")

@@ -157,7 +157,11 @@ def fit_threshold(errors: DataFrame, keys: Sequence[str] = SERIES, method: str =
 def flag_windows(
     errors: DataFrame, threshold: DataFrame, keys: Sequence[str] = SERIES, severity: str = "excess"
 ) -> DataFrame:
-    """Adds threshold, ``is_anomaly`` and ``severity`` (normal included)."""
+    """Adds threshold, ``is_anomaly`` and ``severity`` (normal included).
+
+    Both are null for a window without an error or of a series without a
+    threshold; ``anomaly_summary`` counts those as ``n_unscored``.
+    """
     limits = threshold.select(*keys, "threshold", F.col("std").alias("_std"))
     wide = axis.attach(errors, limits, keys)
     e, t = F.col("error"), F.col("threshold")
@@ -175,16 +179,15 @@ def anomaly_timeline(flagged: DataFrame, keys: Sequence[str] = SERIES) -> DataFr
     return flagged.select(*keys, "window_id", "error", "severity")
 
 
-def _percent(part: Column, whole: Column) -> Column:
-    return F.lit(100.0) * part / F.greatest(whole, F.lit(1))
-
-
 def anomaly_summary(flagged: DataFrame, keys: Sequence[str] = SERIES, decimals: int | None = 2) -> DataFrame:
-    """Windows, flagged windows and rate; ``decimals=None`` leaves it exact."""
-    hits, count = F.sum(F.col("is_anomaly").cast("bigint")), F.count(F.lit(1))
-    rate = _percent(hits, count)
+    """Windows, flagged and unscored windows, and the rate among the scored.
+
+    ``decimals=None`` leaves the rate exact; it is null where no window was scored.
+    """
+    hits, scored, count = F.count_if("is_anomaly"), F.count("is_anomaly"), F.count(F.lit(1))
+    rate = F.when(scored > 0, F.lit(100.0) * hits / scored)
     return flagged.groupBy(*keys).agg(
-        count.alias("n_windows"), hits.alias("n_anomalies"),
+        count.alias("n_windows"), hits.alias("n_anomalies"), (count - scored).alias("n_unscored"),
         (rate if decimals is None else F.round(rate, decimals)).alias("anomaly_rate"),
         F.max("threshold").alias("threshold"))
 
@@ -192,7 +195,7 @@ def anomaly_summary(flagged: DataFrame, keys: Sequence[str] = SERIES, decimals:
 def severity_counts(flagged: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Windows at each of the four levels, zeros included."""
     return flagged.groupBy(*keys).agg(
-        *[F.sum((F.col("severity") == s).cast("bigint")).alias(s) for s in SEVERITY_LEVELS])
+        *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_LEVELS])
 
 
 def error_summary(errors: DataFrame, keys: Sequence[str] = SERIES, split: str = "split") -> DataFrame:

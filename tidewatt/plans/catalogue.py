@@ -15,12 +15,14 @@ from pyspark.sql import types as T
 
 from ..functions import calendar
 from ..operators import anomaly, axis, explore, features, forecast, prepare, quality, report
-from ..schema import DAY, DETECTOR_COLUMNS, EXTENDED_HORIZON, SERIES, TIME, WINDOW_LENGTH
+from ..schema import DAY, DETECTOR_COLUMNS, EXTENDED_HORIZON, SEQUENCE_LENGTH, SERIES, TIME, WINDOW_LENGTH
 from ..session import scratch_path, stage
 from ..sources import artefacts, tables
 from . import analysis, driver_loads, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# Chunk length of the queries that test chunk edges.
+SHORT_CHUNK = 200
 
 
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -243,6 +245,12 @@ def lags_with_gaps(spark, folder):
     return features.lags(hourly, (1, 24))
 
 
+@query()
+def lags_with_gaps_chunks(spark, folder):
+    hourly = driver_loads.written_hourly(spark, folder, "user_id").select(*SERIES, TIME, "load")
+    return features.lags(hourly, (1, 24), chunk_rows=SHORT_CHUNK)
+
+
 @query()
 def rolling_stats(spark, folder):
     return features.rolling_stats(driver_loads.dense_events(spark, folder).select(*SERIES, TIME, "load"), gapless=True)
@@ -266,8 +274,14 @@ def feature_table_by_user(spark, folder):
 @query()
 def features_from(spark, folder):
     """Feature rows of the last week, computed from the history they need."""
-    return features.load_features_from(
-        driver_loads.dense_events(spark, folder), "2024-01-24 00:00:00", calendar.holiday_table(spark, 2023, 2025))
+    dense = driver_loads.dense_events_since(spark, folder, since="2024-01-17 00:00:00")
+    return features.load_features_from(dense, "2024-01-24 00:00:00", calendar.holiday_table(spark, 2023, 2025))
+
+
+@query()
+def feature_table_chunks(spark, folder):
+    """In chunks so short that every series crosses many of their edges."""
+    return driver_loads.event_features(spark, folder, chunk_rows=SHORT_CHUNK)
 
 
 # --- exploration ------------------------------------------------------------
@@ -331,6 +345,12 @@ def row_index(spark, folder):
     return axis.with_position(hourly)
 
 
+@query()
+def row_index_blocks(spark, folder):
+    hourly = driver_loads.written_hourly(spark, folder, "user_id").select(*SERIES, TIME, "load")
+    return axis.with_position(hourly, block_rows=SHORT_CHUNK)
+
+
 @query()
 def chrono_split(spark, folder):
     return _split(spark, folder).select(*SERIES, TIME, "pos", "n", "split", "split_pos", "split_n")
@@ -360,11 +380,9 @@ def minmax_inverse(spark, folder):
     return prepare.inverse_minmax(scaled, params, DETECTOR_COLUMNS)
 
 
-@query(2)
-def sequences(spark, folder):
-    """Every origin of the daily series: input span, input sums, 24 targets."""
+def _sequences(spark, folder, **options):
     rows = _order_split(spark, folder)
-    made = prepare.sequences(rows, ["load", "lag_168"], keys=[*SERIES, "split"], pos="split_pos")
+    made = prepare.sequences(rows, ["load", "lag_168"], keys=[*SERIES, "split"], pos="split_pos", **options)
     total = lambda i: F.aggregate("x", F.lit(0.0), lambda s, v: s + F.element_at(v, i))
     return made.select(
         *SERIES, "split", "origin_pos", "first_ts", "origin_ts", F.size("x").alias("n_inputs"),
@@ -372,9 +390,20 @@ def sequences(spark, folder):
     ).withColumn("step", F.col("_p") + 1).drop("_p")
 
 
-def _window_rows(spark, folder, stride):
+@query(2)
+def sequences(spark, folder):
+    """Every origin of the daily series: input span, input sums, 24 targets."""
+    return _sequences(spark, folder)
+
+
+@query(2)
+def sequences_chunks(spark, folder):
+    return _sequences(spark, folder, chunk_rows=SHORT_CHUNK)
+
+
+def _window_rows(spark, folder, stride, **options):
     rows = _written_features(spark, folder).select(*SERIES, TIME, "load", "lag_24")
-    made = prepare.windows(axis.with_position(rows), ["load", "lag_24"], stride=stride)
+    made = prepare.windows(axis.with_position(rows), ["load", "lag_24"], stride=stride, **options)
     long = made.select(*SERIES, "window_id", "start_ts", "end_ts", F.posexplode("cells").alias("cell", "value"))
     return long.select(*SERIES, "window_id", "start_ts", "end_ts", "cell", "value")
 
@@ -389,6 +418,11 @@ def overlapping_windows(spark, folder):
     return _window_rows(spark, folder, 5)
 
 
+@query()
+def overlapping_windows_chunks(spark, folder):
+    return _window_rows(spark, folder, 5, chunk_rows=SHORT_CHUNK)
+
+
 @query()
 def window_cells(spark, folder):
     """Long form of windows of 24 with stride 7, with the dropped tail."""
@@ -396,21 +430,25 @@ def window_cells(spark, folder):
     return prepare.window_cells(rows, WINDOW_LENGTH, 7).select(*SERIES, "window_id", "offset", TIME, "load")
 
 
+def _last_week(spark, folder):
+    return driver_loads.dense_events_since(spark, folder, "user_id", steps=SEQUENCE_LENGTH)
+
+
 @query()
 def last_168(spark, folder):
-    return axis.last_rows(driver_loads.dense_events(spark, folder, "user_id").select(*SERIES, TIME, "load"), 168)
+    return axis.last_rows(_last_week(spark, folder).select(*SERIES, TIME, "load"), SEQUENCE_LENGTH)
 
 
 # --- forecasts --------------------------------------------------------------
 
 @query()
 def seasonal_naive_24(spark, folder):
-    return forecast.seasonal_naive(driver_loads.dense_events(spark, folder, "user_id"))
+    return forecast.seasonal_naive(_last_week(spark, folder))
 
 
 @query()
 def extended_naive_168(spark, folder):
-    return forecast.seasonal_naive(driver_loads.dense_events(spark, folder, "user_id"), EXTENDED_HORIZON)
+    return forecast.seasonal_naive(_last_week(spark, folder), EXTENDED_HORIZON)
 
 
 @query()
@@ -461,6 +499,18 @@ def forecast_pairs(spark, folder):
     return forecast.pair_forecasts(actual, predicted, [*SERIES, "split"])
 
 
+@query(2)
+def forecast_pairs_chunks(spark, folder):
+    return forecast.naive_pair_rows(_order_split(spark, folder), chunk_rows=SHORT_CHUNK)
+
+
+@query(2)
+def null_load_pairs(spark, folder):
+    """Pairs where the load of every 15th of a month is missing: no step moves."""
+    known = F.when(F.dayofmonth(TIME) != 15, F.col("load"))
+    return forecast.naive_pair_rows(_order_split(spark, folder).withColumn("load", known))
+
+
 @query(3)
 def forecast_metrics(spark, folder):
     return report.forecast_metrics(_pairs(spark, folder), by=[*SERIES, "split"])
@@ -506,6 +556,48 @@ def detect_flags(spark, folder):
     return _scored(spark, folder)[0]
 
 
+@query()
+def saved_detector(spark, folder):
+    """Flags of a detector that was written and read back."""
+    split_rows = stage(_split(spark, folder), "split")
+    root = scratch_path(spark, "detector")
+    artefacts.save_detector(spark, _detector(split_rows), root)
+    rows = split_rows.drop("split", "split_pos", "split_n")
+    return anomaly.detect(rows, artefacts.load_detector(spark, root), positioned=True)
+
+
+def _flag_text(flagged):
+    """Flags as text, since they can be null and plain booleans can't in every client."""
+    return flagged.withColumn("is_anomaly", F.col("is_anomaly").cast("string"))
+
+
+def _with_unknown_series(spark, folder):
+    split_rows = stage(_split(spark, folder), "split")
+    detector = _detector(split_rows.where(F.col("series_id") != "view"))
+    return anomaly.detect(split_rows.drop("split", "split_pos", "split_n"), detector, positioned=True)
+
+
+@query()
+def unknown_series_flags(spark, folder):
+    """Flags of all series by a detector that was not fitted on one of them."""
+    return _flag_text(_with_unknown_series(spark, folder))
+
+
+@query()
+def unknown_series_summary(spark, folder):
+    return anomaly.anomaly_summary(_with_unknown_series(spark, folder))
+
+
+@query()
+def null_cells_error(spark, folder):
+    """Errors where a feature is missing at five o'clock of every third day."""
+    split_rows = stage(_split(spark, folder), "split")
+    known = F.when((F.hour(TIME) != 5) | (F.dayofmonth(TIME) % 3 != 0), F.col("lag_24"))
+    rows = split_rows.drop("split", "split_pos", "split_n").withColumn("lag_24", known)
+    flagged = anomaly.detect(rows, _detector(split_rows), positioned=True)
+    return _flag_text(flagged).select(*SERIES, "window_id", "error", "is_anomaly")
+
+
 @query()
 def detect_by_user(spark, folder):
     """One detector per user, all users in one job."""
@@ -674,4 +766,4 @@ def threshold_record(spark, folder):
     limit = _threshold(spark, folder, "p99")
     path = scratch_path(spark, "threshold")
     artefacts.write_frame_record(limit, path)
-    return spark.read.schema(limit.schema).json(path)
+    return artefacts.read_record(spark, path, limit.schema)

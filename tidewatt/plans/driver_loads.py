@@ -54,6 +54,25 @@ def dense_events(spark: SparkSession, folder: str, key: str = "event_type") -> D
     return axis.densify(hourly, fill=FILL, bounds=bounds)
 
 
+def dense_events_since(
+    spark: SparkSession, folder: str, key: str = "event_type", since: str | None = None, steps: int | None = None,
+) -> DataFrame:
+    """The end of ``dense_events``: from the hour ``since`` on, or the last ``steps`` hours.
+
+    The range and the names of the series are read first, a column each; the
+    time filter then reaches the scan and only this end is put on an axis.
+    """
+    events = table(spark, folder, "events")
+    first, last = events.agg(F.min(F.date_trunc("hour", "ts")), F.max(F.date_trunc("hour", "ts"))).first()
+    begin, end = (F.lit(None if t is None else str(t)).cast("timestamp") for t in (first, last))
+    wanted = F.lit(since).cast("timestamp") if steps is None else axis.shift_time(end, F.lit(1 - steps))
+    begin = F.greatest(begin, wanted)
+    names = events.select(F.col(key).cast("string").alias("series_id")).distinct()
+    recent = events.where(F.col("ts") >= begin.cast(events.schema["ts"].dataType))
+    hourly = _series(recent, key, "ts", "hour", "value")
+    return axis.densify(hourly, fill=FILL, bounds=names.withColumns({"first_ts": begin, "last_ts": end}))
+
+
 def dense_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Order value by day, one series, absent days as 0."""
     daily = _series(
@@ -63,9 +82,9 @@ def dense_orders(spark: SparkSession, folder: str) -> DataFrame:
     return axis.densify(stage(daily, "daily"), step=DAY, fill=FILL)
 
 
-def event_features(spark: SparkSession, folder: str, key: str = "event_type") -> DataFrame:
+def event_features(spark: SparkSession, folder: str, key: str = "event_type", **options) -> DataFrame:
     return load_features(
-        dense_events(spark, folder, key), holiday_table(spark, 2023, 2025), keys=SERIES, gapless=True
+        dense_events(spark, folder, key), holiday_table(spark, 2023, 2025), keys=SERIES, gapless=True, **options
     )
 
 

@@ -355,6 +355,9 @@ def oracle_sql() -> dict[str, str]:
       FROM dense GROUP BY ALL""")
     out["forecast_pairs"] = with_(PAIRS, """SELECT series_id, split, origin_ts, step, round(y, 2) AS y,
       round(yhat, 2) AS yhat FROM pairs""")
+    out["null_load_pairs"] = with_(PAIRS, """SELECT series_id, split, origin_ts, step,
+      CASE WHEN day(origin_ts + to_days(step)) <> 15 THEN round(y, 2) END AS y,
+      CASE WHEN day(origin_ts + to_days(step - 168)) <> 15 THEN round(yhat, 2) END AS yhat FROM pairs""")
     out["forecast_metrics"] = with_(PAIRS, f"SELECT series_id, split, {METRICS.format(d=3)} FROM pairs GROUP BY series_id, split")
     out["forecast_metrics_by_step"] = with_(
         PAIRS, f"SELECT step, {METRICS.format(d=2)} FROM pairs WHERE split = 'test' GROUP BY step")
@@ -366,6 +369,14 @@ def oracle_sql() -> dict[str, str]:
     out["threshold_p99"] = out["threshold_record"] = with_(detector(), limits)
     out["threshold_max"] = with_(detector(method="max_buffer"), limits)
     out["detect_flags"] = with_(detector(), f"SELECT {window}, round(threshold, 6) AS threshold, is_anomaly, severity FROM flagged")
+    out["saved_detector"] = out["detect_flags"]
+    partly = ", ".join(f"CASE WHEN series_id <> 'view' THEN {c} END AS {c}" for c in ("error", "threshold", "is_anomaly", "severity"))
+    unknown = f"{detector()}, partly AS (SELECT series_id, window_id, start_ts, end_ts, {partly} FROM flagged)"
+    out["unknown_series_flags"] = with_(unknown, f"SELECT {window}, round(threshold, 6) AS threshold, CAST(is_anomaly AS VARCHAR) AS is_anomaly, severity FROM partly")
+    out["null_cells_error"] = with_(detector(), """, holes AS (SELECT series_id, window_id,
+        bool_or(hour(t) = 5 AND day(t) % 3 = 0) AS hole FROM all_cells GROUP BY series_id, window_id)
+      SELECT series_id, CAST(window_id AS BIGINT) AS window_id, CASE WHEN NOT hole THEN round(error, 6) END AS error,
+        CASE WHEN NOT hole THEN CAST(is_anomaly AS VARCHAR) END AS is_anomaly FROM flagged JOIN holes USING (series_id, window_id)""")
     out["detect_by_user"] = with_(detector(SPLIT_USERS), """SELECT series_id, CAST(window_id AS BIGINT) AS window_id, end_ts,
       round(error, 6) AS error, is_anomaly FROM flagged""")
     out["severity_excess"] = with_(detector(), "SELECT series_id, CAST(window_id AS BIGINT) AS window_id, severity FROM flagged")
@@ -374,9 +385,11 @@ def oracle_sql() -> dict[str, str]:
     counts = ", ".join(f"count(*) FILTER (WHERE {{c}} = '{s}') AS {s}" for s in ("normal", "low", "medium", "high"))
     out["severity_counts"] = with_(detector(), f"SELECT series_id, {counts.format(c='severity')} FROM flagged GROUP BY series_id")
     summary = """series_id, count(*) AS n_windows, count(*) FILTER (WHERE is_anomaly) AS n_anomalies,
-      round(100.0 * count(*) FILTER (WHERE is_anomaly) / greatest(count(*), 1), {d}) AS anomaly_rate,
+      count(*) - count(is_anomaly) AS n_unscored,
+      round(100.0 * count(*) FILTER (WHERE is_anomaly) / nullif(count(is_anomaly), 0), {d}) AS anomaly_rate,
       round(max(threshold), 6) AS threshold"""
     out["anomaly_summary"] = with_(detector(), f"SELECT {summary.format(d=2)} FROM flagged GROUP BY series_id")
+    out["unknown_series_summary"] = with_(unknown, f"SELECT {summary.format(d=2)} FROM partly GROUP BY series_id")
     out["anomaly_response"] = with_(detector(), f"""SELECT s.*, u.rows_analyzed FROM
       (SELECT {summary.format(d=2)} FROM flagged GROUP BY series_id) s
       JOIN (SELECT series_id, count(*) AS rows_analyzed FROM feat GROUP BY series_id) u USING (series_id)""")
@@ -413,4 +426,8 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT series_id, 'extended_forecast', ts, round(yhat, 6) FROM nv
       UNION ALL SELECT series_id, 'window_error', end_ts, round(error, 6) FROM flagged
       UNION ALL SELECT series_id, 'rows_used', NULL, CAST(count(*) AS DOUBLE) FROM feat GROUP BY series_id""")
+    # the same rows, whatever the length of chunks and blocks
+    for name in ("feature_table", "lags_with_gaps", "sequences", "overlapping_windows", "forecast_pairs"):
+        out[f"{name}_chunks"] = out[name]
+    out["row_index_blocks"] = out["row_index"]
     return out
