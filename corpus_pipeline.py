@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns
-of documents: documents whose text has no language go, one document of each
+of documents: documents whose text has no language go, one row of each
 group of near-duplicates stays, contaminated documents go, and sources are
 mixed to their target weights, by which a document may stand several times.
 The last writes token files and returns their digest.
@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.unique(docs)
+    return neardup.unique(docs, repeats=False)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

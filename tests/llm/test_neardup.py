@@ -61,6 +61,17 @@ def test_edges(spark, edges, edge_dir):
     assert kept.columns == edges.columns and kept.count() == sum(r[3] for r in got)
 
 
+def test_ids_on_several_texts_and_repeats(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = c + " more"
+    rows = [(5, a, "s"), (5, b, "s"), (3, b, "s"), (None, c, "s"), (None, c, "t"), (None, near, "s"), (7, "seven", "t"), (7, "seven", "s"), (7, "seven", "s"), (9, None, "s"), (9, " ", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(str(tuple(r)) for r in neardup.unique(docs).collect()) == sorted(str(r) for r in rows if r != rows[1])
+    single = [tuple(r) for r in neardup.unique(docs, repeats=False).collect()]
+    assert sorted(map(str, (r for r in single if r[0] is not None))) == sorted(map(str, [rows[0], rows[2], rows[7], rows[9], rows[10]]))
+    assert sum(r[0] is None for r in single) == 1 and set(single) <= set(rows)
+
+
 def test_empty(spark, empty_dir):
     assert neardup.op4_near_duplicates(spark, empty_dir).count() == 0
 

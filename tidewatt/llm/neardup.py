@@ -27,8 +27,9 @@ of their own. No pair within one class is ever made.
 Defined results: null texts and texts without words have an empty set, are
 linked with nothing and are their own component; texts of fewer than five
 words are one shingle; rows that repeat are one class; null doc_ids count as
-above all others; no rows give no rows; ``unique`` keeps all columns, and of
-rows with the same doc_id in a component all that carry the component's id.
+above all others; no rows give no rows; ``unique`` keeps all columns and
+decides by row: of a component all rows that carry its id or, without repeats,
+exactly one of them. A doc_id on several texts is judged with each of them.
 """
 
 from __future__ import annotations
@@ -37,10 +38,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatt.llm.common import SPACED, Bitmap, gram_hashes, mixed, read_table, slices, split_words, word_hashes
+from tidewatt.llm.common import SPACED, Bitmap, gram_hashes, mixed, read_table, slices, split_words, text_key, word_hashes
 from tidewatt.session import stage
 
 SHINGLE = 5
@@ -99,7 +100,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sign = signature(shingles)
             prefix.append(sign[:PREFIX].tobytes())
             rest.append(sign[PREFIX:].astype(np.uint8).tobytes())
-        yield pa.record_batch([rows.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, one, two)), pa.array(prefix, pa.binary()), pa.array(rest, pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix", "rest"])
+        ids = [c for c in rows.schema.names if c != "text"]
+        yield pa.record_batch([*map(rows.column, ids), *(pa.array(x, pa.int64()) for x in (n, one, two)), pa.array(prefix, pa.binary()), pa.array(rest, pa.binary())], names=[*ids, "n", "d1", "d2", "prefix", "rest"])
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +245,17 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other", "chunks")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (the set's digest) and component_id of every row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, d1, d2 (the set's digest) and component_id of every row of ``docs`` (doc_id, text).
+
+    With ``keyed`` also k1 and k2, which name the text, and component, which
+    names the component where its id does not: null for empty sets.
+    """
     spark = docs.sparkSession
-    signed = docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n long, d1 long, d2 long, prefix binary, rest binary")
+    key = ["k1", "k2"] if keyed else []
+    signed = docs.select("doc_id", *(text_key() if keyed else []), "text").mapInArrow(_sign, f"doc_id long, {''.join(f'{k} long, ' for k in key)}n long, d1 long, d2 long, prefix binary, rest binary")
     signed = stage(signed, "signed")
-    rows = signed.select("doc_id", "n", "d1", "d2")
+    rows = signed.select("doc_id", *key, "n", "d1", "d2")
     classes = stage(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("lead")).withColumn("class", F.monotonically_increasing_id()), "classes")
     lead = signed.join(classes.withColumnsRenamed({"d1": "c1", "d2": "c2"}), (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("lead")))
     lead = stage(lead.select("class", "prefix", "rest"), "leads")
@@ -280,16 +287,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     linked = stage(components(links).join(classes.select(F.col("class").alias("id"), "lead"), "id"), "linked")
     least = linked.groupBy("label").agg(F.min("lead").alias("least"))
-    merged = linked.join(least, "label").select(F.col("id").alias("class"), "least")
-    named = classes.join(merged, "class", "left").select("d1", "d2", F.coalesce("least", "lead").alias("least"))
+    merged = linked.join(least, "label").select(F.col("id").alias("class"), "label", "least")
+    named = classes.join(merged, "class", "left").select("d1", "d2", F.coalesce("least", "lead").alias("least"), F.coalesce("label", "class").alias("component"))
     out = rows.join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2", own, *([*key, "component"] if keyed else []))
+
 
+def _of(keys: DataFrame) -> Column:
+    """Joins rows with doc_id and text to ``keys`` (doc_id, k1, k2, renamed), null ids too."""
+    k1, k2 = text_key()
+    return (k1 == keys["__k1"]) & (k2 == keys["__k2"]) & F.col("doc_id").eqNullSafe(keys["__id"])
 
-def unique(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's, with all their columns."""
-    gone = stage(near_duplicates(docs).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+
+def unique(docs: DataFrame, repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is their component's, with all their columns.
+
+    Without ``repeats`` exactly one of them for each component: of several
+    texts under its id the one of least key, of rows alike in both the least.
+    Texts without words are no component's and all stay.
+    """
+    named = near_duplicates(docs, keyed=True).filter("component IS NOT NULL")
+    key = [F.col("doc_id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")]
+    keys = stage(named.groupBy("doc_id", "k1", "k2", "component", "component_id").agg(F.count(F.lit(1)).alias("n")), "keys")
+    lead = keys.filter("doc_id <=> component_id")
+    if repeats:
+        gone = stage(keys.filter("NOT doc_id <=> component_id").select(*key), "gone")
+        return docs.join(gone, _of(gone), "left_anti")
+    first = F.min(F.struct("k1", "k2", "doc_id", "n")).alias("l")
+    chosen = stage(lead.groupBy("component").agg(first).select("l.*"), "chosen")
+    several = stage(chosen.filter("n > 1").select(*key), "several")
+    one = chosen.filter("n = 1").select(*key)
+    same = (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    gone = stage(keys.join(one, same, "left_anti").select(*key), "gone")
+    out = docs.join(gone, _of(gone), "left_anti")
+    if several.isEmpty():
+        return out
+    row = F.struct(*docs.columns)
+    # partial minima are made before the shuffle, so a key of any number of rows is one row a task
+    least = docs.join(several, _of(several)).groupBy("__id", "__k1", "__k2").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return out.unionByName(least.select("__row.*"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
