@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -40,6 +41,14 @@ def test_empty_and_nothing_to_learn(spark, empty_dir, edges):
     assert model is None and language.recognised(edges, model).count() == 0
 
 
+def test_pipeline_keeps_texts_without_labels(spark, edges):
+    docs = edges.withColumn("lang", language.F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(r.doc_id, r.text) for r in edges.collect() if any(c.isalpha() for c in r.text or "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want)) and want
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 7, 12, 40])
 def test_codewords_differ(n):
     code = language.codewords(n)

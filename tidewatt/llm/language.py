@@ -12,8 +12,9 @@ rows (``SAMPLE_ROWS`` in all, shared by the languages), chosen by a hash of
 the text; scoring reads every whole text, in byte blocks, where Spark has it.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
-0; so is every text if there is no labelled row to learn from; rows that
-repeat get the same answer; ties between languages go to the first by name;
+0; so is every text if there is no labelled row to learn from, where the
+pipeline keeps all texts with a letter (``lettered``); rows that repeat get the
+same answer; ties between languages go to the first by name;
 other columns are not looked at.
 """
 
@@ -151,6 +152,11 @@ def learn(labelled: DataFrame, bound: int = SAMPLE_ROWS) -> Model | None:
     return fit(x, got["label"].tolist())
 
 
+def has_letter(text: bytes) -> bool:
+    """A plain letter is found at once; only texts without one are decoded."""
+    return text[:64].translate(None, _LETTERS) != text[:64] or any(map(str.isalpha, text.decode()))
+
+
 def predict(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and whether it is ambiguous, of each row."""
     rows = len(offsets) - 1
@@ -163,8 +169,7 @@ def predict(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple
         chance = np.exp(order[:, :1] - losses)
         for k, best in enumerate(losses.argmin(1)):
             text = bytes(data[offsets[low + k]:offsets[low + k + 1]])
-            # a plain letter is found at once; only texts without one are decoded
-            if text[:64].translate(None, _LETTERS) != text[:64] or any(map(str.isalpha, text.decode())):
+            if has_letter(text):
                 names[low + k], score[low + k] = model.languages[best], 1 / chance[k].sum()
                 open_[low + k] = order.shape[1] > 1 and order[k, 1] - order[k, 0] < MARGIN
     return names, score, open_
@@ -199,6 +204,16 @@ def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.mapInArrow(keep, docs.schema)
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter: what can be told without a model."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in slices(batches):
+            yield rows.filter(pa.array([has_letter(bytes(data[low:high])) for low, high in zip(offsets[:-1], offsets[1:], strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learnt from the rows that are not held out."""
     docs = read_table(spark, sf_dir, "documents")
