@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -54,6 +55,14 @@ def test_odd_spaces(model):
     assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pipeline_encodes_added_tokens_by_the_plain_call(spark):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "c <|endoftext|", "<|endoftext|><|endoftext|>", "  d  <|endoftext|>e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, dict(corpus_pipeline.STAGES)["tokens"](spark, docs, "").collect()))
+    assert got == digests(plain, list(enumerate(texts))) and 50256 in whole(plain, texts[0])
+
+
 def test_random_access(spark, sample, model, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").coalesce(1)
     files = tokens.write_sequences(docs, f"file://{tmp_path}/out", length=64, sequences=10).orderBy("part").collect()
