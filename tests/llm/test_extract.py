@@ -51,6 +51,17 @@ def test_blocks():
     assert len(extract.blocks("<div>" * 2000 + "deep" + "</p>" * 10)) == 1
 
 
+def test_self_closed_svg():
+    def texts(page):
+        return [t for _, t in extract.blocks(page)]
+
+    for icon in ('<svg class="i" />', "<svg/>", "<svg a='x>y' b=\"/\"/>", "<SVG viewBox='0 0 1 1' hidden\n/>", "<svg a=1 / />", '<svg width=10/ b="c"/>'):
+        assert texts(f"{icon}<article><p>one</p>{icon}<p>two</p></article>") == ["one", "two"], icon
+    for icon in ("<svg><text>in</text></svg>", '<svg a="/">in</svg>', "<svg a=b/>in</svg>", "<svg / >in</svg>", "<svg a= />in</svg>", "<script/>in</script>"):
+        assert texts(f"{icon}<p>one</p>") == ["one"], icon
+    assert texts("<svg-icon>x</svg-icon><p>one</p>") == ["x", "one"]
+
+
 def test_edges(spark, empty_dir, labeller):
     rows = [(1, None, None, "z"), (None, "u", "", "z"), (2, "u", "no tags", "z"), (3, "u", "<article><p>" + "long text. " * 40_000 + "</p></article>", "z"), (3, "u", "<nav>x</nav>", "z"), (4, "u", '<<<"\'>&bogus;<p', "z")]
     out = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), labeller).collect()

@@ -11,7 +11,8 @@ hash. Elements and class words that name their part of a page label their
 blocks; from the same texts further pages are made up in which containers have
 other names, or none, and parts that the sampled pages lack stand around them.
 
-Scripts, styles, comments of the markup and templates are no blocks. Line
+Scripts, styles, comments of the markup and templates are no blocks. Of these
+only svg may close itself. Line
 breaks part blocks; inline elements do not. Broken markup is read as far as it
 goes: end tags without a start are skipped, open elements end with their
 parents.
@@ -48,8 +49,11 @@ EPOCHS = 6
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: An svg start tag that closes itself; a slash at the end of a value without quotes does not.
+_CLOSED_SVG = r"""<svg(?=[\s/])(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+)*+(?:\s*+/)++>"""
 _PARTS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>"
+    rf"<!--.*?(?:-->|\Z)|{_CLOSED_SVG}|"
+    r"<(script|style|noscript|template|svg|iframe)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LETTERS = re.compile(r"[a-z]+")
