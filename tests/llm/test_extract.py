@@ -62,6 +62,19 @@ def test_self_closed_svg():
     assert texts("<svg-icon>x</svg-icon><p>one</p>") == ["x", "one"]
 
 
+def test_rule_label():
+    def labels(page):
+        return [extract.rule_label(p) for p, _ in extract.blocks(page)]
+
+    assert labels('<html class="menu"><head><title>t</title></head><body class="has-sidebar"><form id="aspnetForm"><article><h1 class="entry-title">h</h1><p>x</p><aside>y</aside></article></form>') == [0, 1, 1, 0]
+    assert labels('<html><body><div class="sidebar">a</div><form><p>b</p></form><article><form>c</form></article><form class="search"><main>d</main></form></body></html>') == [0, 0, 0, 0]
+
+
+def test_nothing_to_learn_from():
+    labeller = extract.train([])
+    assert extract.main_texts(labeller, ["<body><nav>menu</nav><article><p>one</p><p>two</p></article><footer>f</footer>", "bare", ""]) == ["one\ntwo", "bare", ""]
+
+
 def test_edges(spark, empty_dir, labeller):
     rows = [(1, None, None, "z"), (None, "u", "", "z"), (2, "u", "no tags", "z"), (3, "u", "<article><p>" + "long text. " * 40_000 + "</p></article>", "z"), (3, "u", "<nav>x</nav>", "z"), (4, "u", '<<<"\'>&bogus;<p', "z")]
     out = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), labeller).collect()

@@ -220,9 +220,17 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def rule_label(path: tuple[str, ...]) -> float:
     """1 or 0 where the names in a path tell whether a block is main text, else not a number."""
-    if ASIDE.intersection(path):
+    told: list[str] = []
+    elements = [x.split(" ") for x in " ".join(path).rstrip(" /").split(" / ")] if path else []
+    inner = max((k for k, x in enumerate(elements) if x[0] in ("article", "main")), default=-1)
+    for k, (tag, *names) in enumerate(elements):
+        if tag in ("html", "body"):  # their classes tell of the page as a whole
+            told += [tag, "/"]
+        else:  # a form around an article is the whole page's
+            told += [*([tag] if tag != "form" or k > inner else []), *(w for w in names if w != "title"), "/"]
+    if ASIDE.intersection(told):
         return 0.0
-    return 1.0 if MAIN.intersection(path) - {"body"} or "/body/" in "/" + "/".join(path[2:]) + "/" else np.nan
+    return 1.0 if MAIN.intersection(told) - {"body"} or "/body/" in "/" + "/".join(told[2:]) + "/" else np.nan
 
 
 _CONTAINERS = (("article",), ("main",), ("div", "content"), ("div", "post", "body"), ("main", "/", "div", "entry", "content"), ("div", "article", "text"), ("section", "story"), ("div",), ("div", "/", "div"))
@@ -279,6 +287,8 @@ def train(pages: list[str], seed: int = 3) -> Labeller:
     for k in range(MADE_UP):
         examples += made_up(read, seed + k)
     labeller = Labeller.fresh(seed)
+    if not any(np.isfinite(y).any() for _, y in examples):
+        return Labeller({})
     data = [(vectors(page), np.array(y)) for page, y in examples]
     rng = np.random.default_rng(seed)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in labeller.weights.items()}
@@ -313,7 +323,12 @@ def main_texts(labeller: Labeller, pages: list[str]) -> list[str]:
         while high < len(order) and (high - low + 1) * len(read[order[high]]) <= 4096:
             high += 1
         some = order[low:high]
-        score = labeller.output(*padded([vectors(read[k]) for k in some]))
+        if labeller.weights:
+            score = labeller.output(*padded([vectors(read[k]) for k in some]))
+        else:  # nothing was learnt: by the path, and kept where it does not tell
+            score = padded([vectors(read[k]) for k in some])[1].astype(np.float32)
+            for place, k in enumerate(some):
+                score[:len(read[k]), place] = [0 if rule_label(p) == 0 else 1 for p, _ in read[k]]
         for place, k in enumerate(some):
             out[k] = "\n".join(text for (_, text), s in zip(read[k], score[:, place], strict=False) if s > 0)
         low = high
