@@ -171,7 +171,10 @@ def whole_runs(first: np.ndarray, n: int, total: int) -> np.ndarray:
 
 
 class Bitmap:
-    """Set of keys that may hold others too; its size does not depend on them."""
+    """Set of keys that may hold others too; its size does not depend on them.
+
+    Keys are mixed before they are placed: those that are minima of hashes would crowd the low blocks.
+    """
 
     def __init__(self, keys: DataFrame, bits: int) -> None:
         """``keys`` has key. Blocks of the bitmap are made by tasks; all of them together are 2 ** bits / 8 bytes."""
@@ -184,15 +187,20 @@ class Bitmap:
                 part[frame["bit"].to_numpy()] = True
             yield pd.DataFrame({"block": [block[0]], "part": [np.packbits(part).tobytes()]})
 
-        place = F.shiftrightunsigned("key", 64 - bits)
-        rows = keys.select(F.shiftright(place, inner).cast("int").alias("block"), place.bitwiseAND((1 << inner) - 1).alias("bit"))
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = mixed(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
+                block, bit = at >> np.uint64(inner), at & np.uint64((1 << inner) - 1)
+                yield pa.record_batch([pa.array(block.astype(np.int32)), pa.array(bit.view(np.int64))], names=["block", "bit"])
+
+        rows = keys.select("key").mapInArrow(place, "block int, bit long")
         self.map = np.zeros((1 << BLOCK_BITS, (1 << inner) // 8), np.uint8)
         for r in rows.groupBy("block").applyInPandas(fill, "block int, part binary").collect():
             self.map[r["block"]] = np.frombuffer(r["part"], np.uint8)
         self.map = self.map.reshape(-1)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        place = keys >> np.uint64(64 - self.bits)
+        place = mixed(keys) >> np.uint64(64 - self.bits)
         return (self.map[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
