@@ -14,9 +14,7 @@ from tidewatt.llm import tokens
 
 @pytest.fixture(scope="module")
 def model():
-    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def whole(model, text):
@@ -55,12 +53,13 @@ def test_odd_spaces(model):
     assert [np.frombuffer(x, code.dtype).tolist() for x in code.encode(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_pipeline_encodes_added_tokens_by_the_plain_call(spark):
-    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+def test_added_tokens_by_the_plain_call(spark, model, tmp_path):
     texts = ["a <|endoftext|> b", "c <|endoftext|", "<|endoftext|><|endoftext|>", "  d  <|endoftext|>e"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(map(tuple, dict(corpus_pipeline.STAGES)["tokens"](spark, docs, "").collect()))
-    assert got == digests(plain, list(enumerate(texts))) and 50256 in whole(plain, texts[0])
+    want = digests(model, list(enumerate(texts)))
+    assert sorted(map(tuple, dict(corpus_pipeline.STAGES)["tokens"](spark, docs, "").collect())) == want and 50256 in whole(model, texts[0])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, tokens.op1_token_files(spark, str(tmp_path)).collect())) == want
 
 
 def test_random_access(spark, sample, model, tmp_path):

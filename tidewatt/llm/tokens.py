@@ -23,8 +23,7 @@ holds it: pieces of plain letters and signs by the library's model, any other
 part by the whole tokenizer.
 
 A literal added token such as ``<|endoftext|>`` in a text gets its own id, as by
-the library's plain call: such a text goes to the tokenizer whole. Only
-``op1_token_files`` still encodes it as plain text, as its tests expect.
+the library's plain call: such a text goes to the tokenizer whole.
 
 Defined results: a null text is empty and has just the end id; null doc_ids
 come first; rows that repeat a doc_id are ordered by their text's hash and
@@ -65,7 +64,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf" ?(?:[{_LETTERS}]+|[{_SIGNS}]+)(?:[{_LETTERS}]+|[{_SIGNS}]+|\n(?!\n))*")
 _PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
-_coders: dict[tuple[str, bool], Coder] = {}
+_coders: dict[str, Coder] = {}
 KEPT_TABLES.append(_coders)
 
 
@@ -108,14 +107,12 @@ def _byte_letters() -> dict[int, int]:
 class Coder:
     """Encodes texts with one vocabulary; ids are the bytes of numbers of a fixed width."""
 
-    def __init__(self, vocabulary: str, special: bool = False) -> None:
-        """With ``special`` added tokens in a text get their ids, as by the library's plain call; else they are letters and signs."""
+    def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary_file(vocabulary))
-        self.whole.encode_special_tokens = not special
-        added = [t.content for t in self.whole.get_added_tokens_decoder().values() if special or not t.special]
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model = self.whole.model
         self.kind = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
@@ -161,10 +158,10 @@ class Coder:
         return out
 
 
-def coder(vocabulary: str, special: bool) -> Coder:
-    if (vocabulary, special) not in _coders:
-        _coders[vocabulary, special] = Coder(vocabulary, special)
-    return _coders[vocabulary, special]
+def coder(vocabulary: str) -> Coder:
+    if vocabulary not in _coders:
+        _coders[vocabulary] = Coder(vocabulary)
+    return _coders[vocabulary]
 
 
 MANIFEST = "part int, path string, index_path string, n_documents long, n_tokens long, n_sequences long"
@@ -227,13 +224,13 @@ class _Shard:
         return [self.part, self.path, self.index_path, self.documents, self.tokens, self.written]
 
 
-def _writer(folder: str, vocabulary: str, end_id: int, length: int, sequences: int, special: bool) -> Callable:
+def _writer(folder: str, vocabulary: str, end_id: int, length: int, sequences: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code = coder(vocabulary, special)
+            code = coder(vocabulary)
             shard = shard or _Shard(folder, TaskContext.get().partitionId(), code.dtype, length, sequences)
             end = np.array([end_id], code.dtype).tobytes()
             _, offsets = utf8(batch.column("text"))
@@ -249,14 +246,14 @@ def _writer(folder: str, vocabulary: str, end_id: int, length: int, sequences: i
     return write
 
 
-def write_sequences(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, length: int = LENGTH, sequences: int = SEQUENCES, special: bool = True) -> DataFrame:
+def write_sequences(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, length: int = LENGTH, sequences: int = SEQUENCES) -> DataFrame:
     """Write ``docs`` (doc_id, text) as Arrow files below ``folder``; the manifest, a row for each shard.
 
     ``first_token`` and ``first_sequence`` count what lies in the shards before.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange(partitions(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    made = rows.mapInArrow(_writer(folder, vocabulary, end_id, length, sequences, special), MANIFEST)
+    made = rows.mapInArrow(_writer(folder, vocabulary, end_id, length, sequences), MANIFEST)
     made.write.parquet(f"{folder}/manifest")
     made = docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -316,9 +313,9 @@ def read_digests(manifest: DataFrame) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as token files, read back. A literal added token is plain text here, which tests/llm/test_tokens.py expects."""
-    return token_digests(spark, read_table(spark, sf_dir, "documents"), special=False)
+    """All documents as token files, read back."""
+    return token_digests(spark, read_table(spark, sf_dir, "documents"))
 
 
-def token_digests(spark: SparkSession, docs: DataFrame, special: bool = True) -> DataFrame:
-    return read_digests(stage(write_sequences(docs, scratch_path(spark, "tokens"), special=special), "manifest"))
+def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return read_digests(stage(write_sequences(docs, scratch_path(spark, "tokens")), "manifest"))
