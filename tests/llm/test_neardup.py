@@ -97,6 +97,20 @@ def test_large_group_in_chunks(spark, tmp_path, monkeypatch):
     assert found(neardup.op4_near_duplicates(spark, str(tmp_path))) == brute(docs)
 
 
+def test_copies_without_ids_are_one_class(spark, tmp_path, monkeypatch):
+    """Thousands of rows of one text and no id: one post for each list, one set to confirm."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text)] * 3000 + [(None, text.replace("w59", "v59")), (4, "other"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    staged = {}
+    real = neardup.stage
+    monkeypatch.setattr(neardup, "stage", lambda df, label="stage": staged.setdefault(label, []).append(real(df, label)) or staged[label][-1])
+    got = neardup.op4_near_duplicates(spark, str(tmp_path)).toPandas()
+    assert len(got) == len(rows) and got.component_id.notna().sum() == 1
+    assert staged["classes"][0].count() == 3 and staged["posts"][0].count() == 3 * neardup.PREFIX
+    assert staged["clusters"][0].count() == 2 and staged["confirmed"][0].count() == 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(0, 60) if i % 20] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(200)] + [(7, 7)]

@@ -53,7 +53,9 @@ PREFIX = COORDINATES - AGREE + 1
 EXTRA = 256
 MATCHES = 240
 CHUNK = 4096
-SET_CHUNK = 256
+#: A task confirms links between two chunks of a cluster, each of about so many classes and bytes of sets at most.
+SET_CHUNK = 4096
+SET_BYTES = 1 << 24
 BITMAP_BITS = 24
 #: Text bytes that are worked on at once.
 PART_BYTES = 1 << 18
@@ -234,9 +236,10 @@ def components(links: DataFrame) -> DataFrame:
     return names
 
 
-def _chunked(rows: DataFrame, group: str, size: int, own: str) -> DataFrame:
-    """Rows of groups larger than ``size`` in chunks: every pair of chunks (i, j) gets the rows of both."""
-    counts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("chunks"))
+def _chunked(rows: DataFrame, group: str, own: str) -> DataFrame:
+    """Classes of groups of more than SET_CHUNK classes or SET_BYTES of sets in chunks: every pair of chunks (i, j) gets the rows of both."""
+    chunks = F.greatest(F.count(F.lit(1)) / SET_CHUNK, F.sum(8 * F.col("n") + COORDINATES + EXTRA) / SET_BYTES)
+    counts = rows.groupBy(group).agg(F.ceil(chunks).cast("int").alias("chunks"))
     return rows.join(counts, group).withColumn("chunk", F.pmod(F.xxhash64(own), F.col("chunks")).cast("int"))
 
 
@@ -256,9 +259,10 @@ def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
     signed = docs.select("doc_id", *(text_key() if keyed else []), "text").mapInArrow(_sign, f"doc_id long, {''.join(f'{k} long, ' for k in key)}n long, d1 long, d2 long, prefix binary, rest binary")
     signed = stage(signed, "signed")
     rows = signed.select("doc_id", *key, "n", "d1", "d2")
-    classes = stage(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("lead")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    lead = signed.join(classes.withColumnsRenamed({"d1": "c1", "d2": "c2"}), (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("lead")))
-    lead = stage(lead.select("class", "prefix", "rest"), "leads")
+    # a signature depends on the set alone, so any row's stands for its class
+    classes = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("lead"), F.max("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rest").alias("rest"))
+    classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    lead = classes.select("class", "prefix", "rest")
     posts = stage(lead.select("class", "prefix").mapInArrow(_post, "list long, class long"), "posts")
     lists = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("list", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     posts = posts.join(lists, "list").groupBy("class").agg(F.collect_list(F.struct("list", "chunks")).alias("lists"))
@@ -267,8 +271,8 @@ def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
     pairs = posts.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_merge, "a long, b long")
     pairs = stage(pairs, "pairs")
 
-    clusters = components(pairs).select(F.col("id").alias("class"), F.col("label").alias("cluster"))
-    clusters = stage(_chunked(clusters, "cluster", SET_CHUNK, "class").join(classes, "class"), "clusters")
+    clusters = components(pairs).select(F.col("id").alias("class"), F.col("label").alias("cluster")).join(classes.select("class", "d1", "d2", "lead", "n"), "class")
+    clusters = stage(_chunked(clusters, "cluster", "class"), "clusters")
     shared = spark.sparkContext.broadcast(Bitmap(clusters.select(F.xxhash64("lead").alias("key")), BITMAP_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +285,8 @@ def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:
                 yield pa.record_batch([*(pa.array([d[k] for d in named], pa.int64()) for k in (0, 1)), pa.array([x.tobytes() for x in shingles], pa.binary()), pa.array(signs, pa.binary())], names=["d1", "d2", "shingles", "signs"])
 
     full = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(sets, "d1 long, d2 long, shingles binary, signs binary")
+    # several rows of a class come through where they share its lead's id, or all have none
+    full = full.groupBy("d1", "d2").agg(F.first("shingles").alias("shingles"), F.first("signs").alias("signs"))
     full = clusters.join(full, ["d1", "d2"]).select("cluster", "chunk", "chunks", "class", "shingles", "signs")
     links = _pairs(full).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm, "a long, b long")
     links = stage(links, "confirmed")
