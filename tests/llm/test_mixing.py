@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import DATA
 from tidewatt.llm import mixing
@@ -62,6 +64,21 @@ def test_empty(spark, empty_dir):
     assert mixing.op7_mix_sources(spark, empty_dir).count() == 0
 
 
+def test_rows_alike_in_everything(spark, monkeypatch):
+    """Repeated rows, some with nulls in different columns, are copied in blocks; each keeps its total."""
+    monkeypatch.setattr(mixing, "COPY_BLOCK", 7)
+    rows = [(1, "a b", "s", None, "x")] * 50 + [(1, "a b", "s", "x", None)] * 20 + [(i, "c d e", "t", None, None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, other string").withColumn("tags", F.create_map(F.lit("k"), F.col("text")))
+    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
+    want = {r.source: r.n for r in mixing.copies(sized, ["doc_id"]).groupBy("source").agg(F.sum("n_copies").alias("n")).collect()}
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    counts = Counter((r.source, r.lang) for r in got.collect())
+    assert counts["s", None] + counts["s", "x"] == want["s"] and counts["t", None] == want["t"]
+    rate = want["s"] / 70
+    assert abs(counts["s", "x"] - 20 * rate) <= 1
+
+
 def test_one_source_holds_most(spark):
     rows = [(i, "w " * (1 + i % 50), "big" if i % 10 else "small", None, None) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")

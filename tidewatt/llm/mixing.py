@@ -28,6 +28,8 @@ from tidewatt.session import stage
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
 OFFSET_SALT = "mix-1:"
+#: Copies of one row that are emitted by one task, where rows are alike in everything.
+COPY_BLOCK = 4096
 
 
 def word_count(column: str) -> Column:
@@ -82,12 +84,37 @@ def copies(docs: DataFrame, order: list[str], weights: tuple[int, ...] = WEIGHTS
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as the mix takes it."""
+    """The mixed corpus: the rows of ``docs``, each as often as the mix takes it.
+
+    Numbers are given to narrow rows (a key of each row and its size); texts
+    are joined to the copies once, by that key.
+    """
     names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    sized = docs.select(row, F.col("source"), word_count("text").alias("size"), F.col("doc_id"), F.xxhash64("text").alias("h"))
-    taken = copies(sized, ["doc_id", "h"], weights, limit).filter("n_copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*[F.col(f"row.`{c}`") for c in names])
+    keyed = docs.select("*", *_row_key(docs))
+    narrow = keyed.select("__m1", "__m2", "source", word_count("text").alias("size"), "doc_id", F.xxhash64("text").alias("h"))
+    counted = copies(narrow, ["doc_id", "h", "__m1", "__m2"], weights, limit).groupBy("__m1", "__m2")
+    taken = counted.agg(F.sum("n_copies").alias("__n"), F.count(F.lit(1)).alias("__rows")).filter("__n > 0")
+    taken = stage(taken, "taken")
+    single = keyed.join(taken.filter("__rows = 1").drop("__rows"), ["__m1", "__m2"])
+    several = stage(taken.filter("__rows > 1").drop("__rows"), "several")
+    if not several.isEmpty():  # rows alike in everything: one of them stands for all
+        row = F.struct(*[F.col(f"`{c}`") for c in names])
+        lead = keyed.join(several, ["__m1", "__m2"]).groupBy("__m1", "__m2", "__n").agg(F.first(row).alias("__row"))
+        lead = lead.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {COPY_BLOCK}"))))
+        lead = lead.withColumn("__n", F.least(F.lit(COPY_BLOCK).cast("long"), F.col("__n") - F.col("__block") * COPY_BLOCK))
+        lead = lead.repartition("__m1", "__m2", "__block")
+        single = single.unionByName(lead.select("__m1", "__m2", *[F.col(f"__row.`{c}`").alias(c) for c in names], "__n"))
+    return single.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__copy")).drop("__copy")
+
+
+def _row_key(docs: DataFrame) -> list[Column]:
+    """Two columns that name a row: 128 bits of two hashes over all its columns, nulls apart from values."""
+    parts = []
+    for field in docs.schema.fields:
+        column = F.col(f"`{field.name}`")
+        plain = "map" not in field.dataType.simpleString()  # maps can't be hashed
+        parts += [column.isNull(), column if plain else F.to_json(F.struct(column))]
+    return [F.xxhash64(F.lit(2), *parts).alias("__m1"), F.xxhash64(F.lit(3), *parts).alias("__m2")]
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
