@@ -49,6 +49,21 @@ def test_pipeline_keeps_texts_without_labels(spark, edges):
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want)) and want
 
 
+def test_prediction_takes_effect(spark, sample):
+    """A null lang is filled, and other languages than those wanted go; both are beyond ``lettered``."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.fitted(docs)
+    bare = docs.withColumn("lang", language.F.lit(None).cast("string"))
+    filled = {r.doc_id: r.lang for r in language.recognised(bare, model).collect()}
+    truth = dict(zip(sample.doc_id, sample.lang, strict=True))
+    known = [i for i in filled if truth[i] is not None]
+    assert len(filled) == language.lettered(bare).count() and sum(filled[i] == truth[i] for i in known) > 0.98 * len(known)
+    wanted = model.languages[:2]
+    some = [r.lang for r in language.recognised(bare, model, wanted).collect()]
+    assert 0 < len(some) < len(filled) and set(some) == set(wanted)
+    assert {r.lang for r in language.recognised(docs, model).collect()} <= set(model.languages)
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 7, 12, 40])
 def test_codewords_differ(n):
     code = language.codewords(n)

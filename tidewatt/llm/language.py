@@ -20,11 +20,12 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -193,13 +194,21 @@ def fitted(docs: DataFrame) -> Model | None:
     return learn(docs.filter(fold() != 1))
 
 
-def recognised(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` that have a language; rows whose text has no letter are rejected."""
+def recognised(docs: DataFrame, model: Model | None, languages: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` that the model takes for one of ``languages`` (unless given: all it has learnt).
+
+    A null lang becomes the predicted one; a stated lang stays. Texts without a letter have no language and go.
+    """
+    wanted = None if languages is None else set(languages)
+    at = docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
-            lang, _, _ = predict(model, data, offsets)
-            yield rows.filter(pa.array([v != UNKNOWN for v in lang]))
+            found, _, _ = predict(model, data, offsets)
+            lang = pc.coalesce(rows.column(at), pa.array(found, rows.column(at).type))
+            columns = [lang if k == at else c for k, c in enumerate(rows.columns)]
+            held = [v != UNKNOWN and (wanted is None or v in wanted) for v in found]
+            yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names).filter(pa.array(held, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
