@@ -1,9 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns
-of documents: documents whose text has no language go (without a labelled row
-to learn from, those without a letter), one row of each group of
-near-duplicates stays, contaminated documents go, and sources are
+of documents: a null lang becomes the predicted one and documents whose text
+has no language go (without a labelled row to learn from, those without a
+letter, and lang stays), one row of each group of near-duplicates stays, contaminated documents go, and sources are
 mixed to their target weights, by which a document may stand several times.
 The last writes token files and returns their digest.
 
