@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatt.llm import decontaminate, extract, language, mixing, neardup, quality, sharding, substrings, tokens, topk
+from tidewatt.llm import decontaminate, extract, importance, language, mixing, neardup, quality, sharding, substrings, suffixes, tokens, topk, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": tokens.op1_token_files,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract": extract.op8_extract,
     "op9_language_id": language.op9_language_id,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_importance": importance.op11_importance,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_suffixes": suffixes.op13_suffixes,
 }
 
 ORACLE_SQL: dict[str, str] = {
