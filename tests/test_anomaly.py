@@ -126,3 +126,30 @@ def test_saved_detector_scores_the_same(spark, table, tmp_path, kind):
     a, b = (pdf(d.select("series_id", "window_id", "error"), "series_id", "window_id")
             for d in (anomaly.detect(table, detector), again))
     assert np.allclose(a["error"], b["error"])
+
+
+@pytest.mark.parametrize("length, stride, width, n", [(4, 1, 3, 50), (24, 1, 2, 60), (5, 3, 2, 41), (6, 1, 2, 6), (6, 1, 2, 5)])
+def test_products_without_windows(length, stride, width, n):
+    rows = np.random.default_rng(n).normal(size=(n, width))
+    cells = np.array([rows[k:k + length].reshape(-1) for k in range(0, n - length + 1, stride)]).reshape(-1, length * width)
+    count, sums, products = anomaly.window_products(rows, length, stride)
+    assert count == len(cells) and np.allclose(sums, cells.sum(0)) and np.allclose(products, cells.T @ cells)
+    rows[n // 2, 0] = np.nan
+    whole = cells[[not np.isnan(rows[k:k + length]).any() for k in range(0, n - length + 1, stride)]]
+    count, sums, products = anomaly.window_products(rows, length, stride)
+    assert count == len(whole) and np.allclose(products, whole.T @ whole)
+
+
+@pytest.mark.parametrize("stride, chunk", [(1, 4096), (1, 50), (7, 64)])
+def test_components_from_rows_equal_those_from_windows(spark, stride, chunk):
+    rng = np.random.default_rng(3)
+    data = [(s, t, *map(float, rng.normal(size=2) * [3, 1] + np.sin(t / 4))) for s in "ab" for t in range(230 if s == "a" else 90)]
+    rows = spark.createDataFrame(data, "series_id string, pos long, x double, y double")
+    n = F.when(F.col("series_id") == "a", 230).otherwise(90).cast("long")
+    rows = rows.withColumns({"n": n, "timestamp": F.timestamp_seconds(F.col("pos") * 3600)})
+    made = anomaly.fit_autoencoder_rows(rows, 3, ["x", "y"], length=8, stride=stride, chunk_rows=chunk)
+    want = anomaly.fit_autoencoder(prepare.windows(rows, ["x", "y"], length=8, stride=stride), 3)
+    assert np.allclose(made.mean, want.mean)
+    assert np.allclose(made.components @ made.components.T, want.components @ want.components.T, atol=1e-6)
+    with pytest.raises(WindowError):
+        anomaly.fit_autoencoder_rows(rows.where("pos < 7"), 3, ["x", "y"], length=8)

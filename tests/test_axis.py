@@ -85,3 +85,21 @@ def test_time_shift_crosses_a_month_end(spark):
     df = spark.sql("SELECT timestamp '2024-02-28 20:00:00' AS t")
     assert df.select(axis.shift_time("t", F.lit(30)).cast("string")).first()[0] == "2024-03-01 02:00:00"
     assert pd.Timestamp(df.select(axis.from_tick(axis.tick("t"))).first()[0]) == pd.Timestamp("2024-02-28 20:00:00")
+
+
+def test_gapless_positions_need_no_window(spark):
+    df = series(spark, range(300)).unionByName(series(spark, range(37), "b"))
+    got = axis.gapless_position(df)
+    assert got.exceptAll(axis.with_position(df).select(got.columns)).isEmpty() and got.count() == 337
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("skip, again", [({5}, []), (set(), [7]), ({5}, [7]), ({1, 2}, [0, 3])])
+def test_gaps_and_repeats_are_found(spark, skip, again):
+    df = series(spark, range(10), skip=skip)
+    for k in again:
+        df = df.unionByName(series(spark, range(10), skip=set(range(10)) - {k}))
+    with pytest.raises(axis.InputError, match="gaps or repeated"):
+        axis.gapless_position(df)
+    with pytest.raises(axis.InputError):
+        axis.gapless_position(series(spark, range(10)).withColumn("timestamp", F.when(F.col("load") < 9, F.col("timestamp")).otherwise(F.expr("timestamp + interval 1 minute"))))

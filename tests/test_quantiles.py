@@ -43,3 +43,16 @@ def test_iqr(spark):
     a = bounds.where("series_id = 'a'").first()
     assert (a["q1"], a["q3"], a["lower"], a["upper"]) == (2.25, 6.75, -4.5, 13.5)
     assert sorted(r["load"] for r in iqr_outliers(df, bounds).collect()) == [-400.0, 500.0]
+
+
+@pytest.mark.parametrize("values", [
+    np.random.default_rng(4).lognormal(0, 30, 5_000), np.concatenate([np.zeros(3000), np.random.default_rng(5).normal(size=2000)]),
+    np.concatenate([[-np.inf, np.inf, 1e300, -1e300], np.arange(2000) * 1e-9]),
+])
+def test_brackets_with_many_values_are_parted(spark, values):
+    df = frame(spark, values).unionByName(frame(spark, values[:700], "b"))
+    got = exact_quantiles(df, "load", PROBS, ["series_id"], accuracy=20, ordered=10, parts=8).collect()
+    for row in got:
+        own = np.sort(values if row["series_id"] == "a" else values[:700])
+        want = [own[0], *(np.interp(p * (len(own) - 1), np.arange(len(own)), own) for p in PROBS[1:-1]), own[-1]]
+        assert np.allclose([row[c] for c in ("q0", "q25", "q50", "q99", "q100")], want, rtol=1e-12, atol=1e-300)

@@ -8,11 +8,12 @@ cell of a window is rebuilt as its training mean) and a linear autoencoder
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.stat import Summarizer
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import WindowError
+from ..functions.scaling import span
 from ..functions.severity import is_above, severity_by_excess, severity_by_sigma
 from ..schema import (
     BOTTLENECK, DETECTOR_COLUMNS, HOUR, MAX_ERROR_BUFFER, SERIES, SEVERITY_LEVELS, TIME, WINDOW_LENGTH,
@@ -66,6 +68,46 @@ def profile_errors(
         F.when(F.count(gap) == length, F.sum(gap) / F.lit(length * len(columns))).alias("error"))
 
 
+def window_parameters(scaler: DataFrame, profile: DataFrame, threshold: DataFrame | None = None,
+                      keys: Sequence[str] = SERIES, columns: Sequence[str] = DETECTOR_COLUMNS) -> DataFrame:
+    """Everything that scoring a window needs, as one row for each series.
+
+    ``_low`` and ``_by`` scale the columns, ``_profile`` has the cells by
+    offset and column, ``threshold`` and ``_std`` flag the error.
+    """
+    keys = list(keys)
+    cells = F.array(*[F.col(f"profile_{c}") for c in columns])
+    flat = profile.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("offset", cells.alias("cells")))).alias("_rows"))
+    flat = flat.select(*keys, F.flatten("_rows.cells").alias("_profile"))
+    span_of = lambda c: span(f"`min_{c}`", f"`max_{c}`")
+    scales = scaler.select(*keys, F.array(*[F.col(f"min_{c}") for c in columns]).alias("_low"),
+                           F.array(*[F.expr(f"1D / ({span_of(c)})") for c in columns]).alias("_by"))
+    made = scales.join(flat, keys)
+    if threshold is None:
+        return cut(made)
+    return cut(made.join(threshold.select(*keys, "threshold", F.col("std").alias("_std")), keys, "left"))
+
+
+def errors_by_parameters(
+    rows: DataFrame, params: DataFrame, columns: Sequence[str] = DETECTOR_COLUMNS, keys: Sequence[str] = SERIES,
+    time: str = TIME, length: int = WINDOW_LENGTH, stride: int = WINDOW_STRIDE,
+) -> DataFrame:
+    """``profile_errors`` of unscaled rows with one join: scaling and profile come with ``window_parameters``.
+
+    A threshold among the parameters is handed on with the windows.
+    """
+    keys = list(keys)
+    cells = prepare.window_cells(rows.select(*keys, time, "pos", "n", *columns), length, stride)
+    wide = axis.attach(cells, params, keys, values=len(columns) * (length + 2) + 2)
+    width = len(columns)
+    gap = F.expr(" + ".join(
+        f"abs((cast(`{c}` AS DOUBLE) - _low[{i}]) * _by[{i}] - _profile[`offset` * {width} + {i}])" for i, c in enumerate(columns)))
+    limits = [F.first(c).alias(c) for c in ("threshold", "_std") if c in params.columns]
+    return wide.groupBy(*keys, "window_id").agg(
+        F.min(time).alias("start_ts"), F.max(time).alias("end_ts"),
+        F.when(F.count(gap) == length, F.sum(gap) / F.lit(length * width)).alias("error"), *limits)
+
+
 def mean_profile_model(profile: np.ndarray) -> Callable:
     """A predict function for ``score_windows`` that returns a fixed profile."""
     def make():
@@ -99,6 +141,96 @@ def fit_autoencoder(windows: DataFrame, k: int = BOTTLENECK, cells: str = "cells
     return LinearAutoencoder(row["mean"].toArray(), fitted.pc.toArray())
 
 
+def window_products(rows: np.ndarray, length: int, stride: int = 1) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, sum and sum of products of the flattened windows of consecutive ``rows``; windows with a NaN are left out.
+
+    With stride 1 the products of the cells at offsets i and i + lag are those
+    at offsets i - 1 and i - 1 + lag, less the first pair of rows and with one
+    more at the end. So a row is multiplied with each of the ``length`` rows
+    after it once, and not in every window that has both.
+    """
+    n, width = len(rows) - length + 1, rows.shape[1]
+    size = length * width
+    if n <= 0:
+        return 0, np.zeros(size), np.zeros((size, size))
+    if stride != 1 or not np.isfinite(rows).all():
+        cells = np.lib.stride_tricks.sliding_window_view(rows, length, axis=0).transpose(0, 2, 1)[::stride].reshape(-1, size)
+        cells = cells[np.isfinite(cells).all(1)]
+        return len(cells), cells.sum(0), cells.T @ cells
+    total = np.concatenate([np.zeros((1, width)), np.cumsum(rows, 0)])
+    sums = np.concatenate([total[i + n] - total[i] for i in range(length)])
+    products = np.empty((length, width, length, width))
+    for lag in range(length):
+        block = rows[:n].T @ rows[lag:lag + n]
+        for i in range(length - lag):
+            if i:
+                block = block - np.outer(rows[i - 1], rows[i - 1 + lag]) + np.outer(rows[i + n - 1], rows[i + n - 1 + lag])
+            products[i, :, i + lag, :] = block
+            products[i + lag, :, i, :] = block.T
+    return n, sums, products.reshape(size, size)
+
+
+def fit_autoencoder_rows(
+    scaled: DataFrame, k: int = BOTTLENECK, columns: Sequence[str] = DETECTOR_COLUMNS, keys: Sequence[str] = SERIES,
+    length: int = WINDOW_LENGTH, stride: int = 1, chunk_rows: int = axis.CHUNK_ROWS,
+) -> LinearAutoencoder:
+    """``fit_autoencoder`` from the rows themselves (with ``pos``): windows are never written out.
+
+    A task adds up the products of its chunks; one row of a product matrix for
+    each cell of a window is shuffled, and only their sums, whose size is set
+    by the window shape, come to the driver.
+    """
+    width = len(columns)
+    size = length * width
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, sums, products = 0, np.zeros(size), np.zeros((size, size))
+
+        def take(rows: list[np.ndarray], first: int) -> None:
+            nonlocal count, sums, products
+            block = np.concatenate(rows)
+            skipped = -first % stride  # windows start at multiples of the stride
+            n, s, p = window_products(block[skipped:], length, stride)
+            count, sums, products = count + n, sums + s, products + p
+
+        held, key, first = [], None, 0
+        for batch in batches:
+            names = np.array(list(zip(*[batch.column(c).to_pylist() for c in [*keys, "_chunk"]], strict=True)) or [()], object)
+            at = batch.column("_at").to_numpy()
+            cells = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.float64)
+            edges = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1 if batch.num_rows else []
+            for low, high in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if low == high:
+                    continue
+                own = tuple(names[low])
+                if held and own != key:
+                    take(held, first)
+                    held = []
+                if not held:
+                    key, first = own, int(at[low])
+                held.append(cells[low:high])
+        if held:
+            take(held, first)
+        if count:
+            yield pa.record_batch([pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, count)), pa.array(sums),
+                                   pa.array(list(products), pa.list_(pa.float64()))], names=["cell", "n", "total", "products"])
+
+    narrow = scaled.select(*keys, "pos", *[F.col(c).cast("double").alias(c) for c in columns])
+    # a chunk has the first rows of the next one: each window starts in exactly one
+    chunked = axis.with_chunks(narrow, F.col("pos"), back=0, ahead=length - 1, chunk_rows=chunk_rows).drop("_own", "pos")
+    rows = chunked.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "_at")
+    parts = rows.mapInArrow(add, "cell int, n long, total double, products array<double>")
+    added = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("total").alias("total"),
+                                      Summarizer.sum(array_to_vector("products")).alias("products")).orderBy("cell").collect()
+    count = added[0]["n"] if added else 0
+    if count <= k:
+        raise WindowError(f"{count} training windows cannot give {k} components; use a smaller stride or fewer components")
+    mean = np.array([r["total"] for r in added]) / count
+    covariance = np.array([r["products"].toArray() for r in added]) / count - np.outer(mean, mean)
+    _, components = np.linalg.eigh(covariance)
+    return LinearAutoencoder(mean, components[:, ::-1][:, :k].copy())
+
+
 def autoencoder_errors(windows: DataFrame, model: LinearAutoencoder, cells: str = "cells") -> DataFrame:
     """Adds ``error``: mean absolute difference to the reconstruction."""
     shared = windows.sparkSession.sparkContext.broadcast((model.mean, model.components))
@@ -163,7 +295,11 @@ def flag_windows(
     threshold; ``anomaly_summary`` counts those as ``n_unscored``.
     """
     limits = threshold.select(*keys, "threshold", F.col("std").alias("_std"))
-    wide = axis.attach(errors, limits, keys)
+    return _flagged(axis.attach(errors, limits, keys), severity)
+
+
+def _flagged(wide: DataFrame, severity: str) -> DataFrame:
+    """Flag and level of windows with their error, threshold and ``_std``."""
     e, t = F.col("error"), F.col("threshold")
     level = severity_by_excess(e, t) if severity == "excess" else severity_by_sigma(e, t, F.col("_std"))
     return wide.withColumns({"is_anomaly": is_above(e, t), "severity": level}).drop("_std")
@@ -254,11 +390,14 @@ def fit_detector(
         profile = cut(fit_profile(scaled, keys=keys, length=length, stride=fit_stride or stride))
     elif reconstruction == "pca":
         # more windows than components are needed: fit on overlapping ones
-        made = prepare.windows(scaled, keys=keys, length=length, stride=fit_stride or 1)
-        autoencoder = fit_autoencoder(stage(made, "train-windows"), k)
+        autoencoder = fit_autoencoder_rows(scaled, k, keys=keys, length=length, stride=fit_stride or 1)
     else:
         raise ValueError(f"unknown reconstruction {reconstruction!r}")
-    errors = cut(window_errors(rows, (scaler, profile, autoencoder, keys), keys, stride, length))
+    if autoencoder is None:
+        errors = errors_by_parameters(rows, window_parameters(scaler, profile, keys=keys), keys=keys, length=length, stride=stride)
+    else:
+        errors = window_errors(rows, (scaler, profile, autoencoder, keys), keys, stride, length)
+    errors = cut(errors)
     threshold = cut(fit_threshold(errors, keys, method))
     return Detector(scaler, threshold, keys, profile, autoencoder, length, step)
 
@@ -273,6 +412,9 @@ def detect(
     """
     keys = detector.keys
     rows = df if positioned else axis.with_position(df.drop("pos", "n"), keys, time, detector.step)
+    if detector.autoencoder is None:
+        params = window_parameters(detector.scaler, detector.profile, detector.threshold, keys)
+        return _flagged(errors_by_parameters(rows, params, keys=keys, time=time, length=detector.length, stride=stride), severity)
     parts = (detector.scaler, detector.profile, detector.autoencoder, keys)
     errors = window_errors(rows, parts, keys, stride, detector.length, time)
     return flag_windows(errors, detector.threshold, keys, severity)

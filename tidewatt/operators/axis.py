@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import InputError
 from ..schema import HOUR, SERIES, TIME
+from ..session import cut
 
 # Rows of one series handled by one window task: large enough that a 168-row
 # overlap costs about 4 %, small enough to sort in memory.
@@ -77,6 +79,33 @@ def with_position(
     )
 
 
+def gapless_position(df: DataFrame, keys: Sequence[str] = SERIES, time: str = TIME, step: int = HOUR) -> DataFrame:
+    """``with_position`` for series without gaps: ``pos`` is the distance from the first row, so nothing is numbered or sorted.
+
+    First row and number of rows of each series are one small table. It is
+    checked: a series with a gap, a repeated or a shifted time is an error.
+    Steps count as gap-free when range, number, sum and sum of squares are
+    those of consecutive numbers.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(time).isNotNull())
+    seconds, at = F.unix_seconds(time), tick(time, step)
+    wide = at.cast("decimal(20,0)")
+    spans = cut(rows.groupBy(*keys).agg(
+        F.min(seconds).alias("_first"), F.min(at).alias("_from"), F.max(at).alias("_to"), F.count(F.lit(1)).alias("n"),
+        F.sum(wide).alias("_sum"), F.sum((wide * wide).cast("decimal(38,0)")).alias("_squares"),
+        (F.min(seconds % F.lit(step)) != F.max(seconds % F.lit(step))).alias("_shifted")))
+    n, low, high = "cast(n AS DECIMAL(20,0))", "cast(_from AS DECIMAL(20,0))", "cast(_to AS DECIMAL(20,0))"
+    below = "cast({0} * ({0} - 1) AS DECIMAL(30,0)) * (2 * {0} - 1)"  # six times the squares from 1 to {0} - 1
+    above = below.format(f"({high} + 1)")
+    whole = f"_to - _from = n - 1 AND 2 * _sum = {n} * ({low} + {high}) AND 6 * _squares = {above} - {below.format(low)}"
+    examples = spans.where(F.col("_shifted") | ~F.expr(whole)).orderBy(*keys).limit(5).collect()
+    if examples:
+        raise InputError(f"series with gaps or repeated times: {[[r[k] for k in keys] for r in examples]}")
+    placed = attach(rows, spans.select(*keys, "_first", "n"), keys)
+    return placed.withColumn("pos", F.floor((seconds - F.col("_first")) / F.lit(step))).drop("_first")
+
+
 def _block_offsets(totals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, block) -> rows before the block, rows in the series; two levels."""
     earlier = (Window.unboundedPreceding, -1)
@@ -198,7 +227,7 @@ def densify(
     return full.fillna(fill) if fill else full
 
 
-def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = SERIES, values: int | None = None) -> DataFrame:
     """Put the parameters of a series (scaler, threshold, profile) on its rows.
 
     ``params`` has one row per series and should already be materialised: its
@@ -208,13 +237,14 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = SERIES) -> Da
     spread over ``SALTS`` tasks, and since the salt is no column of the result,
     what groups by chunk or window afterwards shuffles by its own keys instead
     of keeping a whole series together. Rows of a series without parameters
-    are kept, with nulls.
+    are kept, with nulls. ``values`` is the number of values in a row of
+    ``params``, where its columns are arrays.
     """
     keys = list(keys)
     if not keys:
         # an aggregate without grouping: one row by construction
         return df.crossJoin(F.broadcast(params))
-    bound = min(BROADCAST_ROWS, BROADCAST_VALUES // len(params.columns))
+    bound = min(BROADCAST_ROWS, BROADCAST_VALUES // (values or len(params.columns)))
     if params.limit(bound + 1).count() <= bound:
         return df.join(F.broadcast(params), keys, "left")
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))

@@ -63,6 +63,15 @@ def forecast_band(df: DataFrame, margin: Column | float = BAND_MARGIN, value: st
     })
 
 
+def measured_band(
+    df: DataFrame, accuracy: DataFrame, keys: Sequence[str] = SERIES, factor: float = 1.0, value: str = "yhat",
+    margin: float = BAND_MARGIN,
+) -> DataFrame:
+    """The band at a distance of each series' own measured ``mae``, times ``factor``; ``margin`` where it has none."""
+    wide = axis.attach(df, accuracy.select(*keys, F.col("mae").alias("_mae")), keys)
+    return forecast_band(wide, F.coalesce("_mae", F.lit(float(margin))) * F.lit(float(factor)), value).drop("_mae")
+
+
 def extended_band(df: DataFrame, margin: float = BAND_MARGIN, value: str = "yhat") -> DataFrame:
     """The wider band of the 168-step forecast."""
     return forecast_band(df, margin * EXTENDED_MARGIN_FACTOR, value)
@@ -344,6 +353,20 @@ def run_forecast(
     return _labelled(_predict_day(_states(df, fitted.keys, time, has_time, True), fitted, has_time))
 
 
+def forecast_all(
+    df: DataFrame, fitted: Forecaster, time: str = TIME, extended: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(forecasts, table of what has none): series that are too short and rows without a key or a time are reported.
+
+    Unlike ``run_forecast`` one bad series does not stop the others.
+    """
+    quality.require_columns(df, FEATURE_COLUMNS)
+    least = MIN_ROWS_EXTENDED if extended else MIN_ROWS_FORECAST
+    usable, rejects = quality.set_aside(df, fitted.keys, time, least)
+    run = run_extended_forecast if extended else run_forecast
+    return run(usable, fitted, time, strict=False), rejects
+
+
 def run_extended_forecast(
     df: DataFrame, fitted: Forecaster, time: str = TIME, has_time: bool = True, strict: bool = True
 ) -> DataFrame:

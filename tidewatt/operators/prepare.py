@@ -13,7 +13,7 @@ from ..schema import (
     DETECTOR_COLUMNS, FEATURE_COLUMNS, FILTER_SIGMAS, FORECAST_HORIZON, HOUR, SEQUENCE_LENGTH, SERIES,
     TARGET_COLUMN, TIME, TRAIN_RATIO, VAL_RATIO, WINDOW_LENGTH, WINDOW_STRIDE,
 )
-from . import axis
+from . import axis, quality
 
 
 def select_features(df: DataFrame, columns: Sequence[str] = FEATURE_COLUMNS,
@@ -30,14 +30,16 @@ def split_limits(n: Column, train: float = TRAIN_RATIO, val: float = VAL_RATIO)
 
 def chrono_split(
     df: DataFrame, keys: Sequence[str] = SERIES, time: str = TIME, step: int = HOUR,
-    train: float = TRAIN_RATIO, val: float = VAL_RATIO,
+    train: float = TRAIN_RATIO, val: float = VAL_RATIO, gapless: bool = False,
 ) -> DataFrame:
     """Label rows train / val / test by position, never at random.
 
     Adds ``pos``, ``n``, ``split``, ``split_pos`` and ``split_n``: the
-    position inside the split and the rows of the split.
+    position inside the split and the rows of the split. ``gapless`` says that
+    no step of a series is absent (it is checked): positions then need no
+    numbering, and large tables no shuffle.
     """
-    placed = axis.with_position(df, keys, time, step)
+    placed = (axis.gapless_position if gapless else axis.with_position)(df, keys, time, step)
     first, second = split_limits(F.col("n"), train, val)
     placed = placed.withColumns({"_a": first, "_b": second})
 
@@ -51,6 +53,14 @@ def chrono_split(
     }).drop("_a", "_b")
 
 
+def split_usable(
+    df: DataFrame, keys: Sequence[str] = SERIES, time: str = TIME, step: int = HOUR, min_rows: int = 0, **options,
+) -> tuple[DataFrame, DataFrame]:
+    """(split rows, table of rows and series that are left out); see ``quality.set_aside``."""
+    usable, rejects = quality.set_aside(df, keys, time, min_rows)
+    return chrono_split(usable, keys, time, step, **options), rejects
+
+
 def normal_rows(df: DataFrame, sigmas: float = FILTER_SIGMAS, value: str = TARGET_COLUMN) -> DataFrame:
     """Rows within ``sigmas`` deviations of their 24-hour rolling mean."""
     distance = F.abs(F.col(value) - F.col("rolling_mean_24"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..errors import InputError
 from ..schema import HOUR, RAW_RENAMES, SERIES, TIME
+from ..session import cut
 from . import axis
 
 _FLOATS = (T.DoubleType, T.FloatType)
@@ -102,6 +103,27 @@ def split_rejects(
     return df.where(~bad), df.where(bad)
 
 
+def set_aside(
+    df: DataFrame, keys: Sequence[str] = SERIES, time: str = TIME, min_rows: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, table of what is left out): nothing is lost without a line in the table.
+
+    The table has a row for each series (null where it has none) and reason,
+    ``null_key``, ``null_time`` or ``too_few_rows``, with the number of rows.
+    """
+    keys = list(keys)
+    usable, bad = split_rejects(df, keys, time)
+    unnamed = F.lit(False)
+    for c in keys:
+        unnamed = unnamed | F.col(c).isNull()
+    reasons = bad.groupBy(*keys, F.when(unnamed, "null_key").otherwise("null_time").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+    if min_rows <= 0:
+        return usable, reasons
+    short = cut(usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") < min_rows))
+    kept = axis.attach(usable, short.select(*keys, F.lit(True).alias("_short")), keys).where(F.col("_short").isNull()).drop("_short")
+    return kept, reasons.unionByName(short.select(*keys, F.lit("too_few_rows").alias("reason"), "n_rows"))
+
+
 def missing_times(
     df: DataFrame, keys: Sequence[str] = SERIES, time: str = TIME, step: int = HOUR
 ) -> DataFrame:

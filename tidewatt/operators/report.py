@@ -35,19 +35,25 @@ def health_score(rate: Column, smape: Column | float = SMAPE_FALLBACK) -> Column
 
 def kpis(
     forecast: DataFrame, extended: DataFrame, anomalies: DataFrame, keys: Sequence[str] = SERIES,
-    smape: float = SMAPE_FALLBACK,
+    smape: float = SMAPE_FALLBACK, accuracy: DataFrame | None = None,
 ) -> DataFrame:
-    """The headline numbers of each series."""
+    """The headline numbers of each series.
+
+    ``accuracy`` has the measured ``smape`` of each series; ``smape`` stands
+    in for series that it does not have.
+    """
     day = forecast.groupBy(*keys).agg(
         F.max("yhat").alias("peak_load"), F.min("yhat").alias("trough_load"),
         F.round(F.avg("yhat"), 1).alias("avg_24"))
     week = extended.groupBy(*keys).agg(F.round(F.avg("yhat"), 1).alias("avg_168"))
     flagged = anomalies.select(*keys, "n_anomalies", "anomaly_rate")
-    return (
-        day.join(week, list(keys), "full").join(flagged, list(keys), "full")
-        .withColumn("smape", F.lit(float(smape)))
-        .withColumn("health_score", health_score(F.col("anomaly_rate"), F.col("smape")))
-    )
+    wide = day.join(week, list(keys), "full").join(flagged, list(keys), "full")
+    given = F.lit(float(smape))
+    if accuracy is None:
+        wide = wide.withColumn("smape", given)
+    else:
+        wide = wide.join(accuracy.select(*keys, "smape"), list(keys), "left").withColumn("smape", F.coalesce("smape", given))
+    return wide.withColumn("health_score", health_score(F.col("anomaly_rate"), F.col("smape")))
 
 
 def history_best(history: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import WindowError
 from ..functions import calendar
 from ..operators import anomaly, axis, explore, features, forecast, prepare, quality, report
-from ..schema import DAY, DETECTOR_COLUMNS, EXTENDED_HORIZON, SEQUENCE_LENGTH, SERIES, TIME, WINDOW_LENGTH
+from ..schema import DAY, DETECTOR_COLUMNS, EXTENDED_HORIZON, FEATURE_COLUMNS, SEQUENCE_LENGTH, SERIES, TIME, WINDOW_LENGTH
 from ..session import scratch_path, stage
 from ..sources import artefacts, tables
 from . import analysis, driver_loads, training
@@ -55,12 +56,12 @@ def _written_features(spark, folder, key="event_type"):
 
 
 def _split(spark, folder, key="event_type"):
-    return prepare.chrono_split(_written_features(spark, folder, key))
+    return prepare.chrono_split(_written_features(spark, folder, key), gapless=True)
 
 
 def _order_split(spark, folder):
     written = stage(driver_loads.order_features(spark, folder), "order-features")
-    return stage(prepare.chrono_split(written, step=DAY), "order-split")
+    return stage(prepare.chrono_split(written, step=DAY, gapless=True), "order-split")
 
 
 def _train_rows(split_rows):
@@ -351,9 +352,47 @@ def row_index_blocks(spark, folder):
     return axis.with_position(hourly, block_rows=SHORT_CHUNK)
 
 
+SPLIT_COLUMNS = [*SERIES, TIME, "pos", "n", "split", "split_pos", "split_n"]
+
+
 @query()
 def chrono_split(spark, folder):
-    return _split(spark, folder).select(*SERIES, TIME, "pos", "n", "split", "split_pos", "split_n")
+    return prepare.chrono_split(_written_features(spark, folder)).select(*SPLIT_COLUMNS)
+
+
+@query()
+def chrono_split_gapless(spark, folder):
+    """Positions from the distance to the first row: no numbering, no shuffle of the rows."""
+    return _split(spark, folder).select(*SPLIT_COLUMNS)
+
+
+def _open_orders(spark, folder):
+    """Orders by customer segment and day, without a time where they are still open."""
+    orders = driver_loads.table(spark, folder, "orders")
+    day = F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("timestamp"))
+    daily = orders.groupBy(F.col("o_orderpriority").alias("series_id"), day.alias(TIME)).agg(F.round(F.sum("o_totalprice"), 2).alias("load"))
+    first = orders.groupBy(F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("series_id"), day.alias(TIME)).agg(F.round(F.sum("o_totalprice"), 2).alias("load"))
+    return daily.unionByName(first.where(F.col("series_id") < "customer 2"))
+
+
+@query()
+def split_rejects_report(spark, folder):
+    """Rows that a split leaves out, by series and reason: null times and series of fewer than 12 days."""
+    return prepare.split_usable(stage(_open_orders(spark, folder), "open-orders"), step=DAY, min_rows=12)[1]
+
+
+@query()
+def split_usable_rows(spark, folder):
+    """The split of what is left."""
+    rows = prepare.split_usable(stage(_open_orders(spark, folder), "open-orders"), step=DAY, min_rows=12)[0]
+    return rows.select(*SPLIT_COLUMNS)
+
+
+@query()
+def forecast_rejects(spark, folder):
+    """Users without enough hours for a forecast, and how many they have."""
+    hourly = driver_loads.written_hourly(spark, folder, "user_id")
+    return quality.set_aside(hourly, min_rows=SEQUENCE_LENGTH)[1]
 
 
 @query()
@@ -401,6 +440,39 @@ def sequences_chunks(spark, folder):
     return _sequences(spark, folder, chunk_rows=SHORT_CHUNK)
 
 
+@query(4)
+def sequences_all_columns(spark, folder):
+    """Every origin with all inputs: the first, the last and the sum of each column over the 168 rows."""
+    made = prepare.sequences(_order_split(spark, folder), keys=[*SERIES, "split"], pos="split_pos")
+    made = made.select(*SERIES, "split", "origin_ts", "x", F.posexplode(F.array(*[F.lit(c) for c in FEATURE_COLUMNS])).alias("_i", "column"))
+    cell = lambda row: F.element_at(row, F.col("_i") + 1)
+    return made.select(
+        *SERIES, "split", "origin_ts", "column", cell(F.element_at("x", 1)).alias("first_value"), cell(F.element_at("x", -1)).alias("last_value"),
+        F.aggregate("x", F.lit(0.0), lambda s, v: s + cell(v)).alias("total"))
+
+
+@query()
+def windows_all_columns(spark, folder):
+    """The cells of the detector's windows, all columns."""
+    made = prepare.windows(axis.gapless_position(_written_features(spark, folder)))
+    long = made.select(*SERIES, "window_id", "start_ts", "end_ts", F.posexplode("cells").alias("cell", "value"))
+    return long.select(*SERIES, "window_id", "start_ts", "end_ts", "cell", "value")
+
+
+@query()
+def window_errors(spark, folder):
+    """What is raised where no series is long enough for a window, and no split for a sequence."""
+    rows = stage(_split(spark, folder), "split")
+    said = []
+    for name, check in (("window", lambda: prepare.require_rows(rows, 1_000_000)),
+                        ("sequence", lambda: prepare.require_sequences(rows, 1_000_000))):
+        try:
+            check()
+        except WindowError as error:
+            said.append((name, str(error)))
+    return spark.createDataFrame(said, "kind string, message string")
+
+
 def _window_rows(spark, folder, stride, **options):
     rows = _written_features(spark, folder).select(*SERIES, TIME, "load", "lag_24")
     made = prepare.windows(axis.with_position(rows), ["load", "lag_24"], stride=stride, **options)
@@ -665,6 +737,27 @@ def score_windows(spark, folder):
     return scored.select(*SERIES, "window_id", "end_ts", anomaly.reconstruction_error().alias("error"))
 
 
+def _naive_accuracy(spark, folder):
+    """Accuracy of the seasonal-naive forecast over all origins of each series."""
+    rows = axis.gapless_position(_written_features(spark, folder)).withColumns(
+        {"split": F.lit("all"), "split_pos": F.col("pos"), "split_n": F.col("n")})
+    return stage(report.forecast_metrics(forecast.naive_pair_rows(rows), by=SERIES), "accuracy")
+
+
+@query()
+def kpis_measured(spark, folder):
+    """KPIs with the measured sMAPE of each series."""
+    made = analysis.full_analysis(*_analysis_inputs(spark, folder))
+    return report.kpis(made["forecast"], made["extended_forecast"], made["anomalies"], accuracy=_naive_accuracy(spark, folder))
+
+
+@query(4)
+def measured_band(spark, folder):
+    """The forecast band at a distance of each series' measured mean error."""
+    made = forecast.seasonal_naive(_written_features(spark, folder))
+    return forecast.measured_band(made, _naive_accuracy(spark, folder))
+
+
 @query()
 def kpis(spark, folder):
     made = analysis.full_analysis(*_analysis_inputs(spark, folder))
@@ -697,26 +790,26 @@ def anomaly_response(spark, folder):
     return analysis.full_analysis(*_analysis_inputs(spark, folder))["anomalies"]
 
 
-# --- fitted models (checked by tests, not by SQL) ---------------------------
+# --- fitted models ----------------------------------------------------------
 
 def _fitted(spark, folder):
     rows = _order_split(spark, folder)
-    return rows, forecast.fit_forecaster(rows, step=DAY)
+    return rows, training.fit_in_rounds(rows, step=DAY)["model"]
 
 
-@query()
+@query(2)
 def forecast_ml_24(spark, folder):
     rows, fitted = _fitted(spark, folder)
     return forecast.run_forecast(rows, fitted)
 
 
-@query()
+@query(1)
 def forecast_ml_168(spark, folder):
     rows, fitted = _fitted(spark, folder)
     return forecast.run_extended_forecast(rows, fitted)
 
 
-@query()
+@query(3)
 def forecaster_metrics(spark, folder):
     """Fitted and seasonal-naive accuracy on the same pairs."""
     rows, fitted = _fitted(spark, folder)
@@ -726,40 +819,84 @@ def forecaster_metrics(spark, folder):
     return made.withColumn("model", F.lit("fitted")).unionByName(naive.withColumn("model", F.lit("seasonal_naive")))
 
 
-@query()
-def tune_forecaster(spark, folder):
-    return training.tune_forecaster(_order_split(spark, folder), step=DAY)
-
-
 @query()
 def detect_pca(spark, folder):
     return _scored(spark, folder, reconstruction="pca")[0]
 
 
 def _trained(spark, folder):
+    """The whole training job, search included."""
     root = scratch_path(spark, "models")
-    training.train_forecaster(driver_loads.order_features(spark, folder), step=DAY, run_search=False, save_to=root)
+    training.training_job(stage(driver_loads.order_features(spark, folder), "order-features"), root, step=DAY, gapless=True)
     return root
 
 
 @query()
+def tune_forecaster(spark, folder):
+    """All trials of the training job's search, as it recorded them."""
+    return artefacts.read_record(spark, f"{_trained(spark, folder)}/trials", training.TRIALS_SCHEMA)
+
+
+@query(3)
 def run_log(spark, folder):
-    return artefacts.read_runs(spark, f"{_trained(spark, folder)}/runs").drop("ts")
+    """Parameters of the run as text, its metrics as numbers."""
+    runs = artefacts.read_runs(spark, f"{_trained(spark, folder)}/runs").drop("ts")
+    number = F.when(F.col("kind") == "metric", F.col("value").cast("double"))
+    return runs.withColumns({"number": number, "value": F.when(F.col("kind") != "metric", F.col("value"))})
+
+
+def _history(spark, folder):
+    return artefacts.read_record(spark, f"{_trained(spark, folder)}/history", artefacts.HISTORY_SCHEMA)
 
 
 @query()
-def history_best(spark, folder):
-    root = _trained(spark, folder)
-    return report.history_best(artefacts.read_record(spark, f"{root}/history", artefacts.HISTORY_SCHEMA))
+def training_history(spark, folder):
+    return _history(spark, folder)
 
 
 @query()
+def history_best(spark, folder):
+    return report.history_best(_history(spark, folder))
+
+
+@query(2)
 def saved_forecaster(spark, folder):
     """Forecast with a model written and read back."""
     fitted = artefacts.load_forecaster(spark, f"{_trained(spark, folder)}/forecaster")
     return forecast.run_forecast(driver_loads.order_features(spark, folder), fitted)
 
 
+@query()
+def models_ready(spark, folder):
+    """The ready flag and the missing parts before and after both models are saved."""
+    root = scratch_path(spark, "ready")
+    forecaster_root, detector_root = f"{root}/forecaster", f"{root}/detector"
+
+    def seen(when):
+        missing = [*artefacts.missing_parts(spark, forecaster_root, artefacts.FORECASTER_PARTS),
+                   *artefacts.missing_parts(spark, detector_root, artefacts.DETECTOR_PARTS)]
+        return when, artefacts.models_ready(spark, forecaster_root, detector_root), len(missing), ", ".join(m.split(":")[0] for m in missing)
+
+    found = [seen("before")]
+    artefacts.save_detector(spark, _detector(stage(_split(spark, folder), "split")), detector_root)
+    found.append(seen("detector saved"))
+    artefacts.save_forecaster(spark, _fitted(spark, folder)[1], forecaster_root)
+    found.append(seen("both saved"))
+    return spark.createDataFrame(found, "moment string, ready boolean, n_missing int, missing string")
+
+
+@query()
+def column_types(spark, folder):
+    """Position, name and type of every column of the events."""
+    return quality.column_types(driver_loads.table(spark, folder, "events"))
+
+
+@query()
+def missing_columns(spark, folder):
+    """The broken rule where a required column is absent."""
+    return quality.violations(driver_loads.hourly_events(spark, folder), [*DETECTOR_COLUMNS[:2], "lag_1", "lag_24"], 24)
+
+
 @query()
 def threshold_record(spark, folder):
     """The threshold as a JSON record, written and read back."""

@@ -426,6 +426,56 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT series_id, 'extended_forecast', ts, round(yhat, 6) FROM nv
       UNION ALL SELECT series_id, 'window_error', end_ts, round(error, 6) FROM flagged
       UNION ALL SELECT series_id, 'rows_used', NULL, CAST(count(*) AS DOUBLE) FROM feat GROUP BY series_id""")
+    # left out and reported
+    open_orders = """open_orders AS (SELECT o_orderpriority AS series_id, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS TIMESTAMP) END AS t
+        FROM orders GROUP BY ALL
+      UNION ALL SELECT 'customer ' || o_custkey, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS TIMESTAMP) END FROM orders
+        WHERE 'customer ' || o_custkey < 'customer 2' GROUP BY ALL),
+      counted AS (SELECT series_id, count(t) AS n_rows FROM open_orders GROUP BY series_id)"""
+    out["split_rejects_report"] = f"""WITH {open_orders} SELECT series_id, 'null_time' AS reason, count(*) AS n_rows FROM open_orders WHERE t IS NULL GROUP BY series_id
+      UNION ALL SELECT series_id, 'too_few_rows', n_rows FROM counted WHERE n_rows BETWEEN 1 AND 11"""
+    usable = f"""{open_orders}, feat AS (SELECT series_id, t FROM open_orders JOIN counted USING (series_id) WHERE t IS NOT NULL AND n_rows >= 12)"""
+    out["split_usable_rows"] = with_(split(usable), f"SELECT series_id, {stamp}, pos, n, split, split_pos, split_n FROM split_rows")
+    out["forecast_rejects"] = with_(hourly("user_id"), "SELECT series_id, 'too_few_rows' AS reason, count(*) AS n_rows FROM hourly GROUP BY series_id HAVING count(*) < 168")
+    out["chrono_split_gapless"] = out["chrono_split"]
+    # all columns, errors, flags
+    edges = " UNION ALL ".join(f"""SELECT series_id, split, t AS origin_ts, '{c}' AS "column", round(first(CAST({c} AS DOUBLE)) OVER w, 4) AS first_value,
+      round(CAST({c} AS DOUBLE), 4) AS last_value, round(sum(CAST({c} AS DOUBLE)) OVER w, 4) + 0.0 AS total, split_pos, split_n FROM split_rows
+      WINDOW w AS (PARTITION BY series_id, split ORDER BY t ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)""" for c in FEATURE_COLUMNS)
+    out["sequences_all_columns"] = with_(SPLIT_ORDERS, f"""SELECT series_id, split, origin_ts, "column", first_value, last_value, total FROM ({edges})
+      WHERE split_pos >= 167 AND split_pos + 24 < split_n""")
+    listed = ", ".join(f"CAST({c} AS DOUBLE)" for c in DETECTOR_COLUMNS)
+    out["windows_all_columns"] = with_(features(), f""", placed AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS pos,
+        count(*) OVER (PARTITION BY series_id) AS n FROM feat),
+      listed AS (SELECT series_id, pos // 24 AS window_id, pos % 24 AS off, min(t) OVER k AS start_ts, max(t) OVER k AS end_ts, [{listed}] AS vals FROM placed
+        WHERE (pos // 24) * 24 + 24 <= n WINDOW k AS (PARTITION BY series_id, pos // 24)),
+      cells AS (SELECT *, unnest(generate_series(1, {len(DETECTOR_COLUMNS)})) AS i FROM listed)
+      SELECT series_id, CAST(window_id AS BIGINT) AS window_id, start_ts, end_ts, CAST(off * {len(DETECTOR_COLUMNS)} + i - 1 AS INTEGER) AS cell,
+        round(vals[i], 6) + 0.0 AS value FROM cells""")
+    out["window_errors"] = with_(SPLIT_EVENTS, """, longest AS (SELECT max(n) AS n, max(split_n) FILTER (WHERE split = 'train') AS train FROM split_rows)
+      SELECT 'window' AS kind, 'not enough rows to form a window (need at least 1000000, got ' || n || ')' AS message FROM longest
+      UNION ALL SELECT 'sequence', 'train data too short: ' || train || ' rows, need 1000024' FROM longest""")
+    accuracy = """around AS (SELECT series_id, load, list(load) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 167 PRECEDING AND 24 FOLLOWING) AS l FROM feat),
+      steps AS (SELECT unnest(generate_series(1, 24)) AS step),
+      pairs AS (SELECT series_id, l[168 + step] AS y, l[step] AS yhat FROM around CROSS JOIN steps WHERE len(l) = 192),
+      accuracy AS (SELECT series_id, avg(abs(y - greatest(0, yhat))) AS mae,
+        avg(2 * abs(y - greatest(0, yhat)) / (abs(y) + abs(greatest(0, yhat)) + 1e-8)) * 100 AS smape FROM pairs GROUP BY series_id)"""
+    out["kpis_measured"] = with_(f"{detector()}, {naive_feat}, {accuracy}", f"""SELECT f.*, a.n_anomalies, a.anomaly_rate, round(c.smape, 6) AS smape,
+        round(greatest(0.0, 100.0 - a.anomaly_rate - c.smape), 1) AS health_score FROM
+      (SELECT series_id, max(yhat) FILTER (WHERE step <= 24) AS peak_load, min(yhat) FILTER (WHERE step <= 24) AS trough_load,
+        round(avg(yhat) FILTER (WHERE step <= 24), 1) AS avg_24, round(avg(yhat), 1) AS avg_168 FROM nv GROUP BY series_id) f
+      JOIN (SELECT series_id, count(*) FILTER (WHERE is_anomaly) AS n_anomalies, {rate} AS anomaly_rate
+        FROM flagged GROUP BY series_id) a USING (series_id) JOIN accuracy c USING (series_id)""")
+    out["measured_band"] = with_(f"{features()}, {naive_feat}, {accuracy}", """SELECT series_id, ts - to_hours(CAST(step AS INTEGER)) AS origin_ts, CAST(step AS INTEGER) AS step, ts,
+      round(yhat, 4) AS yhat, round(greatest(0.0, yhat - mae), 4) AS lower, round(yhat + mae, 4) AS upper FROM nv JOIN accuracy USING (series_id) WHERE step <= 24""")
+    forecaster_parts, detector_parts = "forecast model, forecast scaler, forecast settings", "detector scaler, detector threshold, detector settings, detector reconstruction"
+    out["models_ready"] = f"""SELECT * FROM (VALUES ('before', FALSE, 7::INTEGER, '{forecaster_parts}, {detector_parts}'), ('detector saved', FALSE, 3, '{forecaster_parts}'),
+      ('both saved', TRUE, 0, '')) v(moment, ready, n_missing, missing)"""
+    out["column_types"] = """SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name AS "column",
+      CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type
+      FROM (DESCRIBE events)"""
+    out["missing_columns"] = """SELECT NULL::VARCHAR AS series_id, 'missing_columns' AS rule,
+      'missing: lag_1, lag_24; present: series_id, timestamp, load, temperature, humidity' AS detail"""
     # the same rows, whatever the length of chunks and blocks
     for name in ("feature_table", "lags_with_gaps", "sequences", "overlapping_windows", "forecast_pairs"):
         out[f"{name}_chunks"] = out[name]

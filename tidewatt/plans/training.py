@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from dataclasses import asdict
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -14,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scaling import unscale
-from ..operators import anomaly, axis, forecast, prepare, quality, report
+from ..operators import anomaly, axis, forecast, prepare, quality, report, rounds
 from ..schema import DETECTOR_COLUMNS, FEATURE_COLUMNS, HOUR, SERIES, TARGET_COLUMN, TIME, TRIALS
-from ..session import cut, stage
+from ..session import cut, owned_scratch, stage
 from ..sources import artefacts
 
+TRIALS_SCHEMA = ("trial int, learning_rate double, momentum double, l2 double, warmup int, rounds int, patience int, "
+                 "best_round int, val_loss double, val_mae double")
+
 # Trials of a search that are fitted at the same time.
 PARALLEL_FITS = 4
 # The values a search trial draws from.
@@ -126,6 +130,89 @@ def train_forecaster(
     return {"model": fitted, "metrics": metrics, "params": params, "pairs": pairs, "split_rows": split_rows}
 
 
+def fit_in_rounds(
+    split_rows: DataFrame, keys: Sequence[str] = SERIES, step: int = HOUR, settings: rounds.Settings | None = None,
+    points: Sequence[rounds.Settings] = (), origin_stride: int = 1,
+) -> dict:
+    """A forecaster trained in rounds: model, trained (with the history), trials and the settings used.
+
+    With ``points`` each is tried first and the one of least val_mae is used.
+    The origins of both splits are written once; passing over them gives the
+    sums, the trials' scores and the errors of all rounds.
+    """
+    scaler = forecast.fit_scaler(split_rows, keys)
+    part = split_rows.where(F.col("split").isin("train", "val"))
+    origins = stage(forecast.origin_frame(part, scaler, keys, origin_stride=origin_stride), "origins")
+    rows = forecast.step_rows(origins, step).select("split", *forecast.MODEL_INPUTS, "label")
+    sums = rounds.moments(rows, forecast.MODEL_INPUTS)
+    trials = rounds.search(rows, sums, points) if points else []
+    if trials:
+        best = min(trials, key=lambda t: (t["val_mae"], t["trial"]))
+        chosen = points[best["trial"]]
+        # the trials stop early; the chosen settings get all rounds
+        settings = rounds.Settings(chosen.learning_rate, chosen.momentum, chosen.l2, chosen.warmup)
+    settings = settings or rounds.Settings()
+    trained = rounds.train(sums, settings)
+    held = rows.where(F.col("split") == ("val" if sums.rows("val") else "train"))
+    trained.history["val_mae"] = rounds.absolute_errors(held, trained.models, forecast.MODEL_INPUTS)
+    model = forecast.Forecaster(trained.model(), scaler, list(keys), step)
+    return {"model": model, "trained": trained, "trials": trials, "settings": settings}
+
+
+def train_in_rounds(
+    features: DataFrame, keys: Sequence[str] = SERIES, step: int = HOUR, run_search: bool = True,
+    trials: int = TRIALS, seed: int = 42, origin_stride: int = 1, save_to: str | None = None,
+    run_id: str = "forecaster", gapless: bool = False,
+) -> dict:
+    """The training job: split, scale, search, train with validation history, test, save.
+
+    Saved are the model, the best parameters, every trial, the history (loss,
+    val_loss, val_mae and learning rate of each round), the accuracy by split,
+    and in the run log the parameters, the test accuracy, best_val_loss and
+    epochs_trained.
+    """
+    spark = features.sparkSession
+    needed = [*FEATURE_COLUMNS, TARGET_COLUMN]
+    quality.require_columns(features, needed)
+    split_rows = stage(prepare.chrono_split(features.select(*keys, TIME, *needed), keys, step=step, gapless=gapless), "split-rows")
+    prepare.require_sequences(split_rows)
+    points = rounds.search_points(trials, seed) if run_search else []
+    made = fit_in_rounds(split_rows, keys, step, points=points, origin_stride=origin_stride)
+    trained = made["trained"]
+    params = {k: v for k, v in asdict(made["settings"]).items() if k in rounds.SEARCH_SPACE}
+    pairs = cut(forecast.predict_split(split_rows.where(F.col("split").isin("val", "test")), made["model"]))
+    metrics = report.forecast_metrics(pairs, by=["split"])
+    fitted = {"best_val_loss": trained.history["val_loss"][trained.best - 1], "epochs_trained": len(trained.models)}
+    if save_to:
+        artefacts.save_forecaster(spark, made["model"], f"{save_to}/forecaster")
+        artefacts.write_record(spark, params, f"{save_to}/best_params")
+        artefacts.write_frame_record(metrics, f"{save_to}/metrics")
+        artefacts.write_record(spark, fitted, f"{save_to}/fit")
+        if made["trials"]:
+            spark.createDataFrame(made["trials"], TRIALS_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{save_to}/trials")
+        history = artefacts.history_frame(spark, run_id, trained.history)
+        history.write.mode("overwrite").json(f"{save_to}/history")
+        artefacts.log_run(spark, f"{save_to}/runs", run_id, "param", params)
+        test = metrics.where(F.col("split") == "test").first()
+        artefacts.log_run(spark, f"{save_to}/runs", run_id, "metric",
+                          fitted | {f"test_{k}": test[k] for k in ("mae", "rmse", "smape") if test is not None})
+    return made | {"metrics": metrics, "params": params, "pairs": pairs, "split_rows": split_rows, **fitted}
+
+
+def training_job(features: DataFrame, save_to: str, **options) -> dict:
+    """``train_in_rounds`` as a job of its own: the saved parts are read back, and nothing else is left behind."""
+    spark = features.sparkSession
+    with owned_scratch(spark):
+        made = train_in_rounds(features, save_to=save_to, **options)
+    return {
+        "model": artefacts.load_forecaster(spark, f"{save_to}/forecaster"),
+        "metrics": artefacts.read_record(spark, f"{save_to}/metrics"),
+        "history": artefacts.read_record(spark, f"{save_to}/history", artefacts.HISTORY_SCHEMA),
+        "runs": artefacts.read_runs(spark, f"{save_to}/runs"),
+        **{k: made[k] for k in ("params", "trials", "best_val_loss", "epochs_trained")},
+    }
+
+
 def training_history(spark: SparkSession, model: PipelineModel, run_id: str) -> DataFrame:
     """The objective after every iteration, where the solver iterates."""
     last = model.stages[-1]

@@ -37,6 +37,14 @@ TRAIN_RATIO = 0.70
 VAL_RATIO = 0.15
 FILTER_SIGMAS = 3.0
 TRIALS = 20
+MAX_ROUNDS = 100
+PATIENCE = 12
+WARMUP_ROUNDS = 5
+RATE_FACTOR = 0.5
+RATE_PATIENCE = 5
+MIN_RATE = 1e-7
+SEARCH_ROUNDS = 25
+SEARCH_PATIENCE = 5
 BOTTLENECK = 32
 
 MIN_ROWS_FORECAST = 168

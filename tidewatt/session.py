@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH = "tidewatt.local.scratch"
 
 
+@dataclass
+class _Owner:
+    """What a job has put into the shared folder."""
+
+    paths: list[str] = field(default_factory=list)
+    checkpoints: bool = False
+
+
+_OWNED = "owned-checkpoints"
+_owner: ContextVar[_Owner | None] = ContextVar("tidewatt_scratch_owner", default=None)
+
+
 def prepare_session(spark: SparkSession) -> SparkSession:
     """All time arithmetic is done on UTC wall-clock time."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -38,13 +54,48 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path of its own below the shared folder; nothing is created yet."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    owner = _owner.get()
+    if owner is not None:
+        owner.paths.append(path)
+    return path
+
+
+@contextmanager
+def owned_scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, whatever is staged or checkpointed inside.
+
+    For jobs whose results are written or collected before the end: tables
+    that read staged ones can't be used afterwards. Scopes may be nested; the
+    staged tables of a failed job are removed too.
+    """
+    owner = _Owner()
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        outer = _owner.get()
+        if outer is not None:
+            outer.checkpoints = False  # the folder set last is gone; the next cut names another
+        for path in owner.paths:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark can write."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and restart its lineage from reliable storage."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    owner, folder = _owner.get(), spark.sparkContext.getCheckpointDir()
+    if owner is not None and not owner.checkpoints:
+        owner.checkpoints = True
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, _OWNED))
+    elif owner is None and (folder is None or f"/{_OWNED}-" in folder):
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
     return df.checkpoint(eager=True)
 
