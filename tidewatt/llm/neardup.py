@@ -37,6 +37,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ CHUNK = 4096
 SET_CHUNK = 4096
 SET_BYTES = 1 << 24
 BITMAP_BITS = 24
+#: The bitmap of the texts that go has 64 bits for each of them, but no more than 2 ** GONE_BITS (32 MB).
+GONE_BITS = 28
 #: Text bytes that are worked on at once.
 PART_BYTES = 1 << 18
 
@@ -306,6 +309,28 @@ def _of(keys: DataFrame) -> Column:
     return (k1 == keys["__k1"]) & (k2 == keys["__k2"]) & F.col("doc_id").eqNullSafe(keys["__id"])
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not in ``gone`` (__id, __k1, __k2).
+
+    A bitmap of the texts' keys, of bounded size, lets most rows through at
+    once, so that only texts that may have to go are shuffled.
+    """
+    n = gone.count()
+    if not n:
+        return docs
+    bitmap = Bitmap(gone.select(F.col("__k1").alias("key")).distinct(), min(GONE_BITS, max(16, (64 * n).bit_length())))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def held(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for key in keys:
+            yield pd.Series(shared.value.holds(key.to_numpy().view(np.uint64)))
+
+    marked = docs.withColumn("__held", held(text_key()[0]))
+    kept = marked.filter("NOT __held").drop("__held")
+    return kept.unionByName(marked.filter("__held").drop("__held").join(gone, _of(gone), "left_anti"))
+
+
 def unique(docs: DataFrame, repeats: bool = True) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's, with all their columns.
 
@@ -319,14 +344,14 @@ def unique(docs: DataFrame, repeats: bool = True) -> DataFrame:
     lead = keys.filter("doc_id <=> component_id")
     if repeats:
         gone = stage(keys.filter("NOT doc_id <=> component_id").select(*key), "gone")
-        return docs.join(gone, _of(gone), "left_anti")
+        return _without(docs, gone)
     first = F.min(F.struct("k1", "k2", "doc_id", "n")).alias("l")
     chosen = stage(lead.groupBy("component").agg(first).select("l.*"), "chosen")
     several = stage(chosen.filter("n > 1").select(*key), "several")
     one = chosen.filter("n = 1").select(*key)
     same = (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     gone = stage(keys.join(one, same, "left_anti").select(*key), "gone")
-    out = docs.join(gone, _of(gone), "left_anti")
+    out = _without(docs, gone)
     if several.isEmpty():
         return out
     row = F.struct(*docs.columns)
