@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from tidewatt.llm.common import read_table
 from tidewatt.session import stage
@@ -353,7 +353,7 @@ def whiten(vectors: DataFrame, column: str = "embedding", components: int = COMP
     x = stage(vectors.withColumn("x", quantised(column)).filter("x IS NOT NULL").select("x"), "vectors")
     made = fit(x, components)
     names = vectors.columns
-    schema = StructType(list(vectors.schema.fields)).add("whitened", "array<double>")
+    schema = StructType(list(vectors.schema.fields)).add("whitened", ArrayType(DoubleType()))
     if made is None:
         return vectors.sparkSession.createDataFrame([], schema)
 
