@@ -123,6 +123,10 @@ def mean_profile_model(profile: np.ndarray) -> Callable:
 class LinearAutoencoder:
     mean: np.ndarray        # (cells,)
     components: np.ndarray  # (cells, k), orthonormal columns
+    # of the fit, where it is known: windows, the components' variances and that of all cells
+    n_windows: int | None = None
+    variances: np.ndarray | None = None
+    total_variance: float | None = None
 
 
 def fit_autoencoder(windows: DataFrame, k: int = BOTTLENECK, cells: str = "cells") -> LinearAutoencoder:
@@ -227,8 +231,8 @@ def fit_autoencoder_rows(
         raise WindowError(f"{count} training windows cannot give {k} components; use a smaller stride or fewer components")
     mean = np.array([r["total"] for r in added]) / count
     covariance = np.array([r["products"].toArray() for r in added]) / count - np.outer(mean, mean)
-    _, components = np.linalg.eigh(covariance)
-    return LinearAutoencoder(mean, components[:, ::-1][:, :k].copy())
+    variances, components = np.linalg.eigh(covariance)
+    return LinearAutoencoder(mean, components[:, ::-1][:, :k].copy(), count, variances[::-1][:k].copy(), float(np.trace(covariance)))
 
 
 def autoencoder_errors(windows: DataFrame, model: LinearAutoencoder, cells: str = "cells") -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import anomaly, forecast, quality
 from ..operators.anomaly import Detector
 from ..operators.forecast import Forecaster
 from ..schema import DETECTOR_COLUMNS, EXTENDED_HORIZON, FORECAST_HORIZON, MIN_ROWS_ANOMALY, MIN_ROWS_EXTENDED, TIME
+from ..session import cut
 
 
 def run_anomaly_detection(df: DataFrame, detector: Detector, time: str = TIME, strict: bool = True) -> dict:
@@ -28,8 +29,9 @@ def full_analysis(df: DataFrame, forecaster: Forecaster | None, detector: Detect
     if strict:
         quality.validate(df, DETECTOR_COLUMNS, MIN_ROWS_EXTENDED, keys)
     if forecaster is None:
-        day = forecast.seasonal_naive(df, FORECAST_HORIZON, keys=keys, time=time, step=detector.step)
-        week = forecast.seasonal_naive(df, EXTENDED_HORIZON, keys=keys, time=time, step=detector.step)
+        # no target looks back at a forecast, so the day is the week's first
+        week = cut(forecast.seasonal_naive(df, EXTENDED_HORIZON, keys=keys, time=time, step=detector.step))
+        day = week.where(F.col("step") <= FORECAST_HORIZON)
     else:
         day = forecast.run_forecast(df, forecaster, time, strict=False)
         week = forecast.run_extended_forecast(df, forecaster, time, strict=False)

@@ -9,6 +9,8 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -728,8 +730,6 @@ def detector_metrics(spark, folder):
 @query()
 def score_windows(spark, folder):
     """A given model (here a fixed mid-range profile) run over the windows."""
-    import numpy as np
-
     scaled, _ = _scaled(spark, folder)
     windows = prepare.windows(axis.with_position(scaled.drop("split")))
     shape = (WINDOW_LENGTH, len(DETECTOR_COLUMNS))
@@ -824,6 +824,31 @@ def detect_pca(spark, folder):
     return _scored(spark, folder, reconstruction="pca")[0]
 
 
+@query()
+def pca_model(spark, folder):
+    """The linear autoencoder's fit: windows, total variance, and whether it is the best of its kind.
+
+    The mean squared residual of the training windows, cut out one by one, has
+    to be the total variance less that of the components.
+    """
+    train = stage(axis.with_position(prepare.normal_rows(_train_rows(_split(spark, folder)))), "train-rows")
+    scaled = stage(prepare.transform_minmax(train, prepare.fit_minmax(train, DETECTOR_COLUMNS), DETECTOR_COLUMNS), "scaled")
+    model = anomaly.fit_autoencoder_rows(scaled)
+    parts, mean = model.components, model.mean
+
+    @F.pandas_udf("double")
+    def residual(cells: pd.Series) -> pd.Series:
+        x = np.stack(cells.to_numpy()) - mean if len(cells) else np.empty((0, len(mean)))
+        rest = x - x @ parts @ parts.T
+        return pd.Series((rest * rest).sum(1))
+
+    left = prepare.windows(scaled, stride=1).agg(F.avg(residual("cells"))).first()[0]
+    want = model.total_variance - model.variances.sum()
+    found = (model.n_windows, parts.shape[1], model.total_variance, bool(np.abs(parts.T @ parts - np.eye(parts.shape[1])).max() < 1e-9),
+             bool((np.diff(model.variances) <= 1e-12).all()), bool(abs(left - want) < 1e-9 * model.total_variance))
+    return spark.createDataFrame([found], "n_windows long, n_components int, total_variance double, orthonormal boolean, falling boolean, residual_is_the_rest boolean")
+
+
 def _trained(spark, folder):
     """The whole training job, search included."""
     root = scratch_path(spark, "models")

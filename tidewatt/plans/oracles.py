@@ -426,6 +426,10 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT series_id, 'extended_forecast', ts, round(yhat, 6) FROM nv
       UNION ALL SELECT series_id, 'window_error', end_ts, round(error, 6) FROM flagged
       UNION ALL SELECT series_id, 'rows_used', NULL, CAST(count(*) AS DOUBLE) FROM feat GROUP BY series_id""")
+    spread = " + ".join(f"var_pop({c})" for c in DETECTOR_COLUMNS)
+    out["pca_model"] = with_(detector(stride=1), f""", cells AS (SELECT off, {spread} AS variance, count(*) AS n FROM train_cells GROUP BY off)
+      SELECT max(n) AS n_windows, 32::INTEGER AS n_components, round(sum(variance), 6) AS total_variance, TRUE AS orthonormal, TRUE AS falling,
+        TRUE AS residual_is_the_rest FROM cells""")
     # left out and reported
     open_orders = """open_orders AS (SELECT o_orderpriority AS series_id, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS TIMESTAMP) END AS t
         FROM orders GROUP BY ALL
@@ -439,8 +443,8 @@ def oracle_sql() -> dict[str, str]:
     out["forecast_rejects"] = with_(hourly("user_id"), "SELECT series_id, 'too_few_rows' AS reason, count(*) AS n_rows FROM hourly GROUP BY series_id HAVING count(*) < 168")
     out["chrono_split_gapless"] = out["chrono_split"]
     # all columns, errors, flags
-    edges = " UNION ALL ".join(f"""SELECT series_id, split, t AS origin_ts, '{c}' AS "column", round(first(CAST({c} AS DOUBLE)) OVER w, 4) AS first_value,
-      round(CAST({c} AS DOUBLE), 4) AS last_value, round(sum(CAST({c} AS DOUBLE)) OVER w, 4) + 0.0 AS total, split_pos, split_n FROM split_rows
+    edges = " UNION ALL ".join(f"""SELECT series_id, split, t AS origin_ts, '{c}' AS "column", round(first(CAST({c} AS DOUBLE)) OVER w, 4) + 0.0 AS first_value,
+      round(CAST({c} AS DOUBLE), 4) + 0.0 AS last_value, round(sum(CAST({c} AS DOUBLE)) OVER w, 4) + 0.0 AS total, split_pos, split_n FROM split_rows
       WINDOW w AS (PARTITION BY series_id, split ORDER BY t ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)""" for c in FEATURE_COLUMNS)
     out["sequences_all_columns"] = with_(SPLIT_ORDERS, f"""SELECT series_id, split, origin_ts, "column", first_value, last_value, total FROM ({edges})
       WHERE split_pos >= 167 AND split_pos + 24 < split_n""")
