@@ -10,8 +10,8 @@ each would multiply it, so the suffixes that are sorted are those at anchors:
    anchor make a span. Keys of two anchors or more, counted over all
    documents, are broadcast as a bitmap of bounded size, which may let more
    through but loses none.
-2. Spans of those keys are written and put together where they are equal, with
-   their number. The spans of a key are a shard.
+2. Spans of those keys are written and counted by 128 bits that name their
+   text. The different spans of a key are a shard; only they are sent to tasks.
 3. Within a shard the texts from the anchor on are suffixes, and those before it,
    read backwards, are suffixes of the reversed text. Both are put in order,
    with the common lengths of neighbours, by deep-shallow sorting: multikey
@@ -38,8 +38,9 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -240,15 +241,14 @@ def sorted_strings(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.nda
 
 # --- windows ----------------------------------------------------------------
 
-def repeated(spans: list[bytes], ahead: np.ndarray, number: np.ndarray, length: int, widest: int) -> np.ndarray:
-    """Marks (span, w) of the windows, w bytes before the anchor, that occur at two places or more."""
+def repeated(spans: list[bytes], ahead: np.ndarray, length: int, widest: int) -> np.ndarray:
+    """Marks (span, w) of the windows, w bytes before the anchor, that occur in two of the spans, which differ."""
     n = len(spans)
     after, after_common = sorted_strings([s[a:] for s, a in zip(spans, ahead.tolist(), strict=True)])
     before, before_common = sorted_strings([s[:a][::-1] for s, a in zip(spans, ahead.tolist(), strict=True)])
     nearest = ahead - (np.fromiter(map(len, spans), np.int64, n) - length)
     marks = np.zeros((n, widest), bool)
     one, two = np.empty(n, np.int64), np.empty(n, np.int64)
-    several = number > 1
     for w in range(int(nearest.min()), int(ahead.max()) + 1):
         valid = np.flatnonzero((nearest <= w) & (ahead >= w))
         if not len(valid):
@@ -261,7 +261,7 @@ def repeated(spans: list[bytes], ahead: np.ndarray, number: np.ndarray, length:
         twice = np.zeros(len(valid), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        marks[valid, w] = twice | several[valid]
+        marks[valid, w] = twice
     return marks
 
 
@@ -285,7 +285,11 @@ def _match(length: int, widest: int) -> Callable:
     """Compares the spans of each shard (rows of one key, next to each other), several shards at once."""
 
     def compare(held: pa.Table) -> Iterator[pa.RecordBatch]:
-        marks = repeated(held.column("span").to_pylist(), held.column("ahead").to_numpy().astype(np.int64), held.column("n").to_numpy(), length, widest)
+        # the bitmap may let an equal span through
+        names = zip(*(held.column(c).to_pylist() for c in ("key", "c1", "c2")), strict=True)
+        first = {name: k for k, name in reversed(list(enumerate(names)))}
+        held = held.take(pa.array(sorted(first.values())))
+        marks = repeated(held.column("span").to_pylist(), held.column("ahead").to_numpy().astype(np.int64), length, widest)
         out = [held.column(c).combine_chunks() for c in ("key", "c1", "c2")]
         yield from pa.table([*out, _runs(marks, length)], names=["key", "c1", "c2", "runs"]).to_batches()
 
@@ -305,42 +309,64 @@ def _match(length: int, widest: int) -> Callable:
     return match
 
 
-_SPAN = ["key", "c1", "c2", "ahead", "span"]
+def _staged(spans: DataFrame, label: str) -> DataFrame:
+    """Spans, written, with 128 bits that name their text (c1 and c2) and a number of their own (id)."""
+    named = spans.withColumns({"c1": F.xxhash64("ahead", "span"), "c2": F.xxhash64(F.lit(1), "ahead", "span"), "id": F.monotonically_increasing_id()})
+    return stage_packed(named, label)
 
 
-def _named(spans: DataFrame) -> DataFrame:
-    return spans.withColumns({"c1": F.xxhash64("ahead", "span"), "c2": F.xxhash64(F.lit(1), "ahead", "span")})
+def _held(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among ``keys``, rows whose key is not), told by a broadcast bitmap of bounded size."""
+    n = keys.count()
+    if not n:
+        return rows.limit(0), rows
+    shared = rows.sparkSession.sparkContext.broadcast(Bitmap(keys, min(KEY_BITS, max(16, (64 * n).bit_length()))))
+
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(shared.value.holds(batch.to_numpy().view(np.uint64)))
+
+    marked = rows.withColumn("__held", holds(key))
+    return marked.filter("__held").drop("__held"), marked.filter("NOT __held").drop("__held")
 
 
-def _compared(distinct: DataFrame, length: int, run: int, shard_spans: int, low: int, high: int) -> DataFrame:
-    """key, c1, c2 and runs of the spans in ``distinct`` (different ones, with their number n), of windows low <= w < high."""
-    sizes = stage(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("spans")).filter("spans > 1"), "shards")
+def _compared(spans: DataFrame, length: int, run: int, shard_spans: int, low: int, high: int) -> DataFrame:
+    """key, c1, c2 and runs of staged ``spans``, each standing for n places, of windows low <= w < high.
+
+    Equal spans are counted by their names. Texts are sent once, and only one of
+    each name, and only where a key has several.
+    """
+    names = spans.groupBy("key", "c1", "c2").agg(
+        F.sum("n").alias("n"), F.first("ahead").alias("ahead"), F.first(F.octet_length("span")).alias("size"), F.min("id").alias("id"))
+    names = stage(names, "span-names")
+    sizes = stage(names.groupBy("key").agg(F.count(F.lit(1)).alias("spans")).filter("spans > 1"), "shards")
+    # all windows of a span that lies at several places do
+    whole = F.array(F.struct((-F.col("ahead")).alias("low"), (F.col("size") - F.col("ahead")).alias("high")))
+    found = names.filter("n > 1").select("key", "c1", "c2", whole.alias("runs"))
     small, large = sizes.filter(F.col("spans") <= shard_spans).select("key"), sizes.filter(F.col("spans") > shard_spans).select("key")
-    # alone with its key: no other window can be equal to its windows
-    alone = distinct.filter("n > 1").select("key", "c1", "c2", "ahead", F.octet_length("span").alias("size")).join(sizes, "key", "left_anti")
-    alone = alone.select("key", "c1", "c2", F.array(F.struct((-F.col("ahead")).alias("low"), (F.col("size") - F.col("ahead")).alias("high"))).alias("runs"))
-    sorted_ = distinct.join(small, "key", "left_semi").select(*_SPAN, "n").repartition("key").sortWithinPartitions("key")
-    found = sorted_.mapInArrow(_match(length, length - run + 1), f"key long, c1 long, c2 long, runs {RUNS}").filter("size(runs) > 0")
-    found = stage(found.unionByName(alone), "runs")
-    if high - low == 1 or large.isEmpty():
-        return found
-    parted, middle = None, (low + high) // 2
+    parting = not large.isEmpty()
+    chosen, _ = _held(spans, F.col("id"), names.join(small, "key", "left_semi").select(F.col("id").alias("key")))
+    if parting:  # the bitmap may have let some of their spans through
+        chosen = chosen.join(large, "key", "left_anti")
+    chosen = chosen.select("key", "c1", "c2", "ahead", "span").repartition("key").sortWithinPartitions("key")
+    found = found.unionByName(chosen.mapInArrow(_match(length, length - run + 1), f"key long, c1 long, c2 long, runs {RUNS}").filter("size(runs) > 0"))
+    if not parting or high - low == 1:
+        return stage(found, "runs")
+    # one of each name stands for all; its key's windows are parted by w
+    some = spans.join(large, "key", "left_semi").select("id", "key", "c1", "c2", "ahead", "span").join(names.select("id", "n"), "id")
+    middle = (low + high) // 2
     for a, b in ((low, middle), (middle, high)):
         # w of the span's windows in this half, and the bytes that all windows of the half have in common
-        first = F.greatest(F.col("ahead") - (F.octet_length("span") - length), F.lit(a))
-        last = F.least("ahead", F.lit(b - 1))
-        half = distinct.join(large, "key", "left_semi").withColumns({"first": first, "last": last}).filter("first <= last").select(
+        half = some.withColumns({
+            "first": F.greatest(F.col("ahead") - (F.octet_length("span") - length), F.lit(a)), "last": F.least("ahead", F.lit(b - 1))})
+        half = half.filter("first <= last").select(
             F.col("key").alias("p_key"), F.col("c1").alias("p1"), F.col("c2").alias("p2"), "n",
             F.xxhash64("key", F.lit(a), F.expr(f"substring(span, ahead - {a} + 1, {length - (b - 1 - a)})")).alias("key"),
             F.expr(f"substring(span, ahead - last + 1, {length} + last - first)").alias("span"), F.col("last").alias("ahead"))
-        parted = half if parted is None else parted.unionByName(half)
-    parted = stage_packed(_named(parted), "parted")
-    # the two halves are compared apart from each other, since each is parted further in its own place
-    for a, b in ((low, middle), (middle, high)):
-        own = parted.filter((F.col("ahead") >= a) & (F.col("ahead") < b))
-        fewer = stage_packed(own.groupBy(*_SPAN).agg(F.sum("n").alias("n")), "distinct-spans")
-        deeper = _compared(fewer, length, run, shard_spans, a, b)
-        back = own.select("p_key", "p1", "p2", "key", "c1", "c2").join(deeper, ["key", "c1", "c2"])
+        half = _staged(half, "parted")
+        deeper = _compared(half, length, run, shard_spans, a, b)
+        back = half.select("p_key", "p1", "p2", "key", "c1", "c2").join(deeper, ["key", "c1", "c2"])
         found = found.unionByName(back.select(F.col("p_key").alias("key"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), "runs"))
     return stage(found, "runs")
 
@@ -353,9 +379,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, run: int = RUN, bits: i
     bits = min(bits, max(20, (64 * keys.count()).bit_length()))
     shared = spark.sparkContext.broadcast(Bitmap(keys, bits))
     spans = docs.select("doc_id", *text_key(), "text").mapInArrow(_spans(shared, length, run), "doc_id long, k1 long, k2 long, key long, place long, ahead int, span binary")
-    spans = stage_packed(_named(spans), "spans")
-    distinct = stage_packed(spans.groupBy(*_SPAN).agg(F.count(F.lit(1)).alias("n")), "distinct-spans")
-    found = _compared(distinct, length, run, shard_spans, 0, length - run + 1)
+    spans = _staged(spans.withColumn("n", F.lit(1).cast("long")), "spans")
+    found = _compared(spans, length, run, shard_spans, 0, length - run + 1)
     moved = F.transform("runs", lambda r: F.struct((r["low"] + F.col("place")).alias("low"), (r["high"] + F.col("place")).alias("high")))
     places = spans.select("doc_id", "k1", "k2", "key", "c1", "c2", "place").join(found, ["key", "c1", "c2"])
     return places.select("doc_id", "k1", "k2", F.explode(moved).alias("r")).distinct().groupBy("doc_id", "k1", "k2").agg(F.collect_list("r").alias("runs"))
@@ -392,10 +417,13 @@ def _whole_characters(text: bytes, runs: list[list[int]]) -> list[list[int]]:
 
 
 def _with_runs(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` and __runs, which is null where nothing is removed."""
-    runs = repeated_runs(docs, length).select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
+    """``docs`` and __runs, which is null where nothing is removed; texts that lose nothing are not shuffled."""
+    runs = stage(repeated_runs(docs, length), "document-runs")
     k1, k2 = text_key()
-    return docs.join(runs, (k1 == F.col("__k1")) & (k2 == F.col("__k2")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id", "__k1", "__k2")
+    some, others = _held(docs, k1, runs.select(F.col("k1").alias("key")).distinct())
+    runs = runs.select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs"))
+    joined = some.join(runs, (k1 == F.col("__k1")) & (k2 == F.col("__k2")) & some["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id", "__k1", "__k2")
+    return joined.unionByName(others.withColumn("__runs", F.lit(None).cast(runs.schema["__runs"].dataType)))
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
