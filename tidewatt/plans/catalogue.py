@@ -442,7 +442,7 @@ def sequences_chunks(spark, folder):
     return _sequences(spark, folder, chunk_rows=SHORT_CHUNK)
 
 
-@query(4)
+@query(2)
 def sequences_all_columns(spark, folder):
     """Every origin with all inputs: the first, the last and the sum of each column over the 168 rows."""
     made = prepare.sequences(_order_split(spark, folder), keys=[*SERIES, "split"], pos="split_pos")
