@@ -450,7 +450,7 @@ def sequences_all_columns(spark, folder):
     cell = lambda row: F.element_at(row, F.col("_i") + 1)
     return made.select(
         *SERIES, "split", "origin_ts", "column", cell(F.element_at("x", 1)).alias("first_value"), cell(F.element_at("x", -1)).alias("last_value"),
-        F.aggregate("x", F.lit(0.0), lambda s, v: s + cell(v)).alias("total"))
+        F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + cell(v))).alias("total"))
 
 
 @query()

@@ -444,7 +444,7 @@ def oracle_sql() -> dict[str, str]:
     out["chrono_split_gapless"] = out["chrono_split"]
     # all columns, errors, flags
     edges = " UNION ALL ".join(f"""SELECT series_id, split, t AS origin_ts, '{c}' AS "column", round(first(CAST({c} AS DOUBLE)) OVER w, 2) + 0.0 AS first_value,
-      round(CAST({c} AS DOUBLE), 2) + 0.0 AS last_value, round(sum(CAST({c} AS DOUBLE)) OVER w, 2) + 0.0 AS total, split_pos, split_n FROM split_rows
+      round(CAST({c} AS DOUBLE), 2) + 0.0 AS last_value, round(sum(CAST({c} AS DOUBLE)) OVER w, 0) + 0.0 AS total, split_pos, split_n FROM split_rows
       WINDOW w AS (PARTITION BY series_id, split ORDER BY t ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)""" for c in FEATURE_COLUMNS)
     out["sequences_all_columns"] = with_(SPLIT_ORDERS, f"""SELECT series_id, split, origin_ts, "column", first_value, last_value, total FROM ({edges})
       WHERE split_pos >= 167 AND split_pos + 24 < split_n""")
