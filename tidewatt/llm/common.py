@@ -50,9 +50,9 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
-def stage_packed(df: DataFrame, label: str) -> DataFrame:
-    """Like ``stage``, for tables with text: written with a stronger compression."""
-    path = scratch_path(df.sparkSession, label)
+def stage_packed(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Like ``stage``, for tables with text: written with a stronger compression, at ``path`` if it is given."""
+    path = path or scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,8 +3,8 @@
 Documents are drawn by how much more often their hashed features (words and
 pairs of adjacent words) occur in a target table than in the corpus.
 
-1. The distinct words of corpus and target are counted. The most frequent
-   ``DICTIONARY_WORDS`` of them make up an Aho-Corasick dictionary: a pattern is
+1. The distinct words of corpus and target are counted. The most frequent, up to
+   ``DICTIONARY_WORDS`` of them, make up an Aho-Corasick dictionary: a pattern is
    a word between two delimiters, its payload the word's CRC-32 and length.
    Its size is bounded by ``DICTIONARY_WORDS`` and ``DICTIONARY_LENGTH``
    whatever the corpus; it is broadcast as a list of words, and a worker makes
@@ -182,13 +182,28 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dictionary(*texts: DataFrame, words: int = DICTIONARY_WORDS) -> Dictionary:
-    """The ``words`` most frequent words of the tables' column text."""
+    """The most frequent words of the tables' column text, ``words`` at most.
+
+    Words are taken by levels of frequency (sixteen for each doubling) from the
+    top, as long as a level fits whole. So only the levels' sizes and the
+    words taken come to the driver, whatever the number of words and tasks.
+    """
     counted = None
     for table in texts:
         own = table.select("text").mapInArrow(_words, "word binary, n long")
         counted = own if counted is None else counted.unionByName(own)
-    most = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return Dictionary([bytes(r["word"]) for r in most.select("word").collect()])
+    level = F.floor(16 * F.log2(F.col("n").cast("double"))).cast("int").alias("level")
+    counted = stage(counted.groupBy("word").agg(F.sum("n").alias("n")).select("word", level), "words")
+    sizes = counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
+    lowest, room = None, words
+    for r in sizes:
+        room -= r["n"]
+        if room < 0:
+            break
+        lowest = r["level"]
+    if lowest is None:
+        return Dictionary([])
+    return Dictionary(sorted(bytes(r["word"]) for r in counted.filter(F.col("level") >= lowest).select("word").collect()))
 
 
 def bucket_counts(texts: DataFrame, shared) -> np.ndarray:
