@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatt.llm import decontaminate, language, mixing, neardup, tokens
 from tidewatt.llm.common import read_table, stage_packed
+from tidewatt.session import owned_scratch, scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; each stage's rows are written before the next reads them."""
     docs = read_table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage_packed(step(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with owned_scratch(spark):  # what a stage has written on its way goes with it
+            docs = stage_packed(step(spark, docs, sf_dir), name, path)
     return STAGES[-1][1](spark, docs, sf_dir)
