@@ -153,3 +153,15 @@ def test_components_from_rows_equal_those_from_windows(spark, stride, chunk):
     assert np.allclose(made.components @ made.components.T, want.components @ want.components.T, atol=1e-6)
     with pytest.raises(WindowError):
         anomaly.fit_autoencoder_rows(rows.where("pos < 7"), 3, ["x", "y"], length=8)
+
+
+def test_scoring_needs_one_join(table):
+    split = prepare.chrono_split(table, gapless=True).persist()
+    detector = anomaly.fit_detector(split.where("split = 'train'").drop("pos", "n", "split", "split_pos", "split_n"))
+    flagged = anomaly.detect(split.drop("split", "split_pos", "split_n"), detector, positioned=True)
+    text = flagged._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert sum(line.lstrip(" +-:").startswith("Join") for line in text.splitlines()) == 1
+    parts = (detector.scaler, detector.profile, None, ["series_id"])
+    slow = anomaly.flag_windows(anomaly.window_errors(split, parts, ["series_id"]), detector.threshold)
+    got, want = (pdf(d, "series_id", "window_id") for d in (flagged, slow))
+    assert np.allclose(got["error"], want["error"]) and (got[["is_anomaly", "severity"]] == want[["is_anomaly", "severity"]]).all(axis=None)

@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from tidewatt.operators import anomaly, forecast
+from tidewatt.operators import anomaly, forecast, prepare, quality
 from tidewatt.plans import training
 from tidewatt.sources import artefacts
 
@@ -56,3 +56,15 @@ def test_null_load_keeps_steps_aligned(spark):
     got = {r.step: r.y for r in actual.where(f"origin_ts = timestamp'{origin}'").collect()}
     assert got == {s: None if 170 + s == 180 else float(170 + s) for s in range(1, 25)}
     assert naive.count() == actual.count()
+
+
+def test_what_is_set_aside_is_reported(spark):
+    rows = [("a", t, 1.0) for t in hours(30)] + [("a", None, 1.0)] * 3 + [("b", t, 2.0) for t in hours(5)] + [("b", None, 2.0), (None, hours(1)[0], 3.0), (None, None, 3.0)]
+    df = spark.createDataFrame(rows, "series_id string, timestamp timestamp, load double")
+    usable, rejects = quality.set_aside(df, min_rows=10)
+    assert usable.count() == 30 and usable.columns == df.columns
+    found = {(r["series_id"], r["reason"]): r["n_rows"] for r in rejects.collect()}
+    assert found == {("a", "null_time"): 3, ("b", "null_time"): 1, (None, "null_key"): 2, ("b", "too_few_rows"): 5}
+    split, _ = prepare.split_usable(df, min_rows=10)
+    assert split.count() == 30 and usable.count() + sum(found.values()) == df.count()
+    assert quality.set_aside(df)[0].count() == 35 and quality.set_aside(df.limit(0), min_rows=3)[1].isEmpty()
