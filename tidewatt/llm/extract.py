@@ -7,7 +7,7 @@ bidirectional LSTM in numpy reads the whole sequence, so every block is
 classified with the page around it; blocks labelled as main text are joined.
 
 The labeller is trained on the driver from ``SAMPLE_PAGES`` pages, chosen by a
-hash. Elements and class words that name their part of a page label their
+hash among those of up to ``SAMPLE_LENGTH`` characters (longer ones are only read). Elements and class words that name their part of a page label their
 blocks; from the same texts further pages are made up in which containers have
 other names, or none, and parts that the sampled pages lack stand around them.
 
@@ -40,6 +40,8 @@ from tidewatt.llm.common import read_table
 
 #: Pages that the labeller is trained on, at most about as many.
 SAMPLE_PAGES = 240
+#: The longest page, in characters, that it is trained on.
+SAMPLE_LENGTH = 200_000
 PATH_SIZE = 128
 WORD_SIZE = 32
 SIZE = PATH_SIZE + WORD_SIZE + 4
@@ -337,7 +339,7 @@ def main_texts(labeller: Labeller, pages: list[str]) -> list[str]:
 
 def sample_pages(pages: DataFrame, bound: int = SAMPLE_PAGES) -> list[str]:
     """About ``bound`` pages, chosen by a hash of their text; all if there are fewer."""
-    rows = pages.filter("length(html) BETWEEN 1 AND 200000").select("html")
+    rows = pages.filter(f"length(html) BETWEEN 1 AND {SAMPLE_LENGTH}").select("html")
     part = F.pmod(F.xxhash64(F.lit(9), "html"), F.lit(1 << 30)) / float(1 << 30)
     return sorted(r["html"] for r in rows.filter(part < min(1.0, bound / max(1, rows.count()))).collect())
 
