@@ -53,6 +53,8 @@ RUN = 128
 #: The bitmap of repeated keys has 64 bits for each of them, but no more than 2 ** KEY_BITS (128 MB).
 KEY_BITS = 30
 SHARD_SPANS = 4096
+#: Keys of larger shards that are broadcast, as a table of eight bytes each; more of them are joined by shuffling.
+BROADCAST_KEYS = 1 << 17
 #: Spans that a task compares at once (whole shards).
 BATCH_SPANS = 8192
 #: Suffixes are parted by quicksort to this depth.
@@ -344,17 +346,21 @@ def _compared(spans: DataFrame, length: int, run: int, shard_spans: int, low: in
     # all windows of a span that lies at several places do
     whole = F.array(F.struct((-F.col("ahead")).alias("low"), (F.col("size") - F.col("ahead")).alias("high")))
     found = names.filter("n > 1").select("key", "c1", "c2", whole.alias("runs"))
-    small, large = sizes.filter(F.col("spans") <= shard_spans).select("key"), sizes.filter(F.col("spans") > shard_spans).select("key")
-    parting = not large.isEmpty()
+    small, large = sizes.filter(F.col("spans") <= shard_spans).select("key"), stage(sizes.filter(F.col("spans") > shard_spans).select("key"), "large")
+    n_large = large.count()
+    if n_large <= BROADCAST_KEYS:
+        large = F.broadcast(large)
     chosen, _ = _held(spans, F.col("id"), names.join(small, "key", "left_semi").select(F.col("id").alias("key")))
-    if parting:  # the bitmap may have let some of their spans through
+    if n_large:  # the bitmap may have let some of their spans through
         chosen = chosen.join(large, "key", "left_anti")
     chosen = chosen.select("key", "c1", "c2", "ahead", "span").repartition("key").sortWithinPartitions("key")
     found = found.unionByName(chosen.mapInArrow(_match(length, length - run + 1), f"key long, c1 long, c2 long, runs {RUNS}").filter("size(runs) > 0"))
-    if not parting or high - low == 1:
+    if not n_large or high - low == 1:
         return stage(found, "runs")
     # one of each name stands for all; its key's windows are parted by w
-    some = spans.join(large, "key", "left_semi").select("id", "key", "c1", "c2", "ahead", "span").join(names.select("id", "n"), "id")
+    ids = stage(names.join(large, "key", "left_semi").select("id", "n"), "parted-ids")
+    some, _ = _held(spans, F.col("id"), ids.select(F.col("id").alias("key")))
+    some = some.select("id", "key", "c1", "c2", "ahead", "span").join(ids, "id")
     middle = (low + high) // 2
     for a, b in ((low, middle), (middle, high)):
         # w of the span's windows in this half, and the bytes that all windows of the half have in common
