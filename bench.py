@@ -22,6 +22,7 @@ HEADLINE = [
     "hourly_series", "missing_hours_by_user", "null_report", "densify", "feature_table", "feature_table_by_user",
     "row_index", "chrono_split", "iqr_bounds", "load_heatmap", "last_168", "seasonal_naive_24", "extended_naive_168",
     "forecast_metrics", "detect_flags", "detect_by_user", "full_analysis", "forecast_ml_24", "detect_pca",
+    "forecast_ml_168", "tune_forecaster",
 ]
 
 

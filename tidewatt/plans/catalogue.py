@@ -61,8 +61,8 @@ def _split(spark, folder, key="event_type"):
     return prepare.chrono_split(_written_features(spark, folder, key), gapless=True)
 
 
-def _order_split(spark, folder):
-    written = stage(driver_loads.order_features(spark, folder), "order-features")
+def _order_split(spark, folder, key=None):
+    written = stage(driver_loads.order_features(spark, folder, key), "order-features")
     return stage(prepare.chrono_split(written, step=DAY, gapless=True), "order-split")
 
 
@@ -792,8 +792,8 @@ def anomaly_response(spark, folder):
 
 # --- fitted models ----------------------------------------------------------
 
-def _fitted(spark, folder):
-    rows = _order_split(spark, folder)
+def _fitted(spark, folder, key=None):
+    rows = _order_split(spark, folder, key)
     return rows, training.fit_in_rounds(rows, step=DAY)["model"]
 
 
@@ -803,6 +803,19 @@ def forecast_ml_24(spark, folder):
     return forecast.run_forecast(rows, fitted)
 
 
+@query(2)
+def forecast_ml_24_by_priority(spark, folder):
+    """One model for several series, each scaled by its own range."""
+    rows, fitted = _fitted(spark, folder, "o_orderpriority")
+    return forecast.run_forecast(rows, fitted)
+
+
+@query(2)
+def forecaster_metrics_by_priority(spark, folder):
+    rows, fitted = _fitted(spark, folder, "o_orderpriority")
+    return report.forecast_metrics(forecast.predict_split(rows.where(F.col("split") != "train"), fitted), by=[*SERIES, "split"])
+
+
 @query(1)
 def forecast_ml_168(spark, folder):
     rows, fitted = _fitted(spark, folder)

@@ -73,12 +73,11 @@ def dense_events_since(
     return axis.densify(hourly, fill=FILL, bounds=names.withColumns({"first_ts": begin, "last_ts": end}))
 
 
-def dense_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Order value by day, one series, absent days as 0."""
-    daily = _series(
-        table(spark, folder, "orders").withColumn("series", F.lit("orders")),
-        "series", "o_orderdate", "day", "o_totalprice",
-    )
+def dense_orders(spark: SparkSession, folder: str, key: str | None = None) -> DataFrame:
+    """Order value by day, absent days as 0: one series, or one for each value of ``key``."""
+    orders = table(spark, folder, "orders")
+    orders = orders.withColumn("series", F.col(key) if key else F.lit("orders"))
+    daily = _series(orders, "series", "o_orderdate", "day", "o_totalprice")
     return axis.densify(stage(daily, "daily"), step=DAY, fill=FILL)
 
 
@@ -88,7 +87,7 @@ def event_features(spark: SparkSession, folder: str, key: str = "event_type", **
     )
 
 
-def order_features(spark: SparkSession, folder: str) -> DataFrame:
+def order_features(spark: SparkSession, folder: str, key: str | None = None) -> DataFrame:
     return load_features(
-        dense_orders(spark, folder), holiday_table(spark, 1994, 2002), step=DAY, gapless=True
+        dense_orders(spark, folder, key), holiday_table(spark, 1994, 2002), step=DAY, gapless=True
     )

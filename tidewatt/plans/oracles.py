@@ -69,6 +69,19 @@ def dense_days() -> str:
       FROM axis a LEFT JOIN daily d ON d.t = a.t)"""
 
 
+def dense_days_by(key: str) -> str:
+    """Each value of ``key`` a series, from its own first to its own last day."""
+    return f"""daily AS (
+      SELECT CAST({key} AS VARCHAR) AS series_id, date_trunc('day', o_orderdate) AS t, round(sum(o_totalprice), 6) AS load,
+             round(avg(o_totalprice), 6) AS temperature, CAST(count(*) AS DOUBLE) AS humidity
+      FROM orders GROUP BY ALL),
+    axis AS (SELECT series_id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS t FROM daily GROUP BY series_id),
+    dense AS (
+      SELECT a.series_id, CAST(a.t AS TIMESTAMP) AS t, coalesce(d.load, 0.0) AS load,
+             coalesce(d.temperature, 0.0) AS temperature, coalesce(d.humidity, 0.0) AS humidity
+      FROM axis a LEFT JOIN daily d ON d.series_id = a.series_id AND d.t = a.t)"""
+
+
 def angle(part: str, period: int, wave: str) -> str:
     return f"{wave}(2 * {math.pi!r} * {part} / {period})"
 
@@ -114,6 +127,7 @@ def split(base: str) -> str:
 SPLIT_EVENTS = split(features())
 SPLIT_USERS = split(features(key="user_id"))
 SPLIT_ORDERS = split(features(dense_days(), (1994, 2002)))
+SPLIT_PRIORITY = split(features(dense_days_by("o_orderpriority"), (1994, 2002)))
 
 
 def scaled(columns, source: str, bounds: str, also: str) -> str:

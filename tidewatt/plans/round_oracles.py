@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..operators.rounds import MIN_DELTA, MIN_VARIANCE, Settings, search_points
 from ..schema import FEATURE_COLUMNS, MIN_RATE, RATE_FACTOR, RATE_PATIENCE, TARGET_COLUMN
-from .oracles import CYCLES, METRICS, PAIRS, SERVED, SPLIT_ORDERS, minmax, scaled
+from .oracles import CYCLES, METRICS, PAIRS, SPLIT_ORDERS, SPLIT_PRIORITY, minmax, scaled
 
 CYCLE_NAMES = [c for c in FEATURE_COLUMNS if c.endswith(("_sin", "_cos"))]
 BACK = (24, 48, 168)
@@ -22,10 +22,10 @@ def cycles(time: str, prefix: str) -> str:
     return CYCLES.replace("(t)", f"({time})").replace(" AS ", f" AS {prefix}")
 
 
-def frame() -> str:
+def frame(split_rows: str = SPLIT_ORDERS) -> str:
     """(origin, step) rows with scaled inputs, and each as the list x = [1, inputs..., label]."""
     columns = [*FEATURE_COLUMNS, TARGET_COLUMN]
-    return f"""{SPLIT_ORDERS},
+    return f"""{split_rows},
     bounds AS MATERIALIZED ({minmax(columns, 'split_rows', "split = 'train'")}),
     sc AS ({scaled(columns, 'split_rows', 'bounds', 's.split, s.split_pos, s.split_n')}),
     origins AS MATERIALIZED (SELECT * FROM (SELECT *, list(load) OVER (PARTITION BY series_id, split ORDER BY split_pos
@@ -38,12 +38,12 @@ def frame() -> str:
       FROM (SELECT *, {cycles('ts', 'target_')} FROM cut))"""
 
 
-def sums() -> str:
+def sums(split_rows: str = SPLIT_ORDERS) -> str:
     """``stats``: one row with the mean products m (train) and h (val), and from them centre, scale, a and b."""
     n = K + 2
     cells = ", ".join("[" + ", ".join(f"sum(x[{min(i, j)}] * x[{max(i, j)}])" for j in range(1, n + 1)) + "]" for i in range(1, n + 1))
     each = f"generate_series(1, {K})"
-    return f"""{frame()},
+    return f"""{frame(split_rows)},
     products AS (SELECT split, [{cells}] AS p FROM frame WHERE split <> 'test' GROUP BY split),
     means AS (SELECT split, list_transform(p, lambda r: list_transform(r, lambda v: v / p[1][1])) AS m FROM products),
     both_ AS (SELECT (SELECT m FROM means WHERE split = 'train') AS m, (SELECT m FROM means WHERE split = 'val') AS h),
@@ -166,6 +166,9 @@ def round_sql() -> dict[str, str]:
     out["forecaster_metrics"] = f"""WITH {plain}, {scored}{naive}
       SELECT series_id, split, 'fitted' AS model, {METRICS.format(d=3)} FROM fitted_pairs GROUP BY series_id, split
       UNION ALL SELECT series_id, split, 'seasonal_naive', {METRICS.format(d=3)} FROM pairs WHERE split <> 'train' GROUP BY series_id, split"""
+    several = rounds([Settings()], sums(SPLIT_PRIORITY))
+    out["forecast_ml_24_by_priority"] = f"WITH {state(several)}, {day(0)} {one}"
+    out["forecaster_metrics_by_priority"] = f"WITH {several}, {scored} SELECT series_id, split, {METRICS.format(d=2)} FROM fitted_pairs GROUP BY series_id, split"
     out["tune_forecaster"] = f"""WITH {best} SELECT CAST(t.trial AS INTEGER) AS trial, round(p.learning_rate, 6) AS learning_rate, round(p.momentum, 6) AS momentum,
       round(p.l2, 6) AS l2, CAST(p.warmup AS INTEGER) AS warmup, CAST(t.rounds AS INTEGER) AS rounds, CAST(p.patience AS INTEGER) AS patience,
       CAST(t.best_round AS INTEGER) AS best_round, round(t.val_loss, 6) AS val_loss, round(t.val_mae, 6) AS val_mae

@@ -75,7 +75,7 @@ def missing_parts(spark: SparkSession, root: str, parts: dict[str, str]) -> list
 def require_parts(spark: SparkSession, root: str, parts: dict[str, str]) -> None:
     missing = missing_parts(spark, root, parts)
     if missing:
-        raise ArtefactError("missing artefacts, train first:\n" + "\n".join(missing))
+        raise ArtefactError("parts of a model that are not there (has it been trained and saved?):\n" + "\n".join(missing))
 
 
 def models_ready(spark: SparkSession, forecaster_root: str, detector_root: str) -> bool:
