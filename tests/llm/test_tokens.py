@@ -74,3 +74,21 @@ def test_random_access(spark, sample, model, tmp_path):
             assert len(ids) == 64 and not ids.flags.owndata
             assert ids[mask].tolist() == own[64 * k:64 * (k + 1)].tolist() and mask.sum() == min(64, len(own) - 64 * k)
     assert sum(f.n_tokens for f in files) == len(stream)
+
+
+def test_full_tables_keep_what_they_hold(model, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PARTS", 12)
+    code = tokens.Coder(tokens.VOCABULARY)
+    plain = lambda texts: [model.encode(t, add_special_tokens=False).ids for t in texts]
+    ids = lambda texts: [np.frombuffer(x, code.dtype).tolist() for x in code.encode(texts)]
+    first = ["one two, two three.", "one été\nsix"]
+    assert ids(first) == plain(first)
+    held = dict(code.later)
+    for k in range(3):  # more words than the tables hold, and not yet so many that they start anew
+        texts = [" ".join(f"{a}{b}{'xyz'[k]}!" for a in "abc" for b in "def"), "two, three. ###"]
+        assert ids(texts) == plain(texts)
+        assert held.items() <= code.later.items() and sum(map(len, (code.first, code.later, code.pieces))) <= 12
+    for k in range(9):
+        texts = [" ".join(f"{a}{'ghijklmno'[k]}{b}?" for a in "abc" for b in "def")]
+        assert ids(texts) == plain(texts)
+    assert not held.items() <= code.later.items()

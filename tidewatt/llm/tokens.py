@@ -18,9 +18,11 @@ executor leaves at most files that no manifest names.
 Encoding: a text is parted before each single space between two characters
 that are not white space. Every piece of the byte-level pre-tokenizer ends
 there, so the ids of the parts, joined, are the ids of the whole text. Parts
-and their pieces recur, so each is encoded once for as long as a bounded table
-holds it: pieces of plain letters and signs by the library's model, any other
-part by the whole tokenizer.
+and their pieces recur, so those that come first are kept encoded in tables of
+a bounded size, which start anew when texts no longer find theirs: pieces of
+plain letters and signs by the library's model, any other part by the whole
+tokenizer. A word before signs is the same piece as that word alone, and is
+looked up as such.
 
 A literal added token such as ``<|endoftext|>`` in a text gets its own id, as by
 the library's plain call: such a text goes to the tokenizer whole.
@@ -55,14 +57,20 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 LENGTH = 2048
 SEQUENCES = 256
-#: Parts that a worker keeps encoded, and the longest part that it keeps.
-KEPT_PARTS = 400_000
+#: Parts and pieces that a worker keeps encoded in all tables, and the longest one that it keeps.
+KEPT_PARTS = 350_000
 KEPT_LENGTH = 32
+#: Words with signs, which are soon put together, are kept until this share of the room is left.
+JOINED = 0.5
+#: The tables start anew when this many times as many have not been found in the full ones.
+STALE = 4
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters and signs of which the pre-tokenizer's pieces are sure without its tables of Unicode.
 _LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf" ?(?:[{_LETTERS}]+|[{_SIGNS}]+)(?:[{_LETTERS}]+|[{_SIGNS}]+|\n(?!\n))*")
+_WORD = re.compile(rf"[{_LETTERS}]+")
+_ENDS = "".join(c for c in map(chr, range(33, 127)) if re.fullmatch(f"[{_SIGNS}]", c))
 _PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
 _coders: dict[str, Coder] = {}
 KEPT_TABLES.append(_coders)
@@ -82,18 +90,26 @@ class _OddSpace(Exception):
 
 
 class _Known(dict):
-    """Codes of parts; a part that is asked for the first time is encoded. ``lead`` stands before each."""
+    """Codes of parts; a part that is not held is encoded. ``lead`` stands before each."""
 
-    def __init__(self, code: Callable[[str], bytes], lead: str) -> None:
+    def __init__(self, coder: Coder, lead: str) -> None:
         super().__init__()
-        self.code, self.lead = code, lead
+        self.coder, self.lead = coder, lead
 
     def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
+        word = part.rstrip(_ENDS)
+        if _WORD.fullmatch(word):
+            if len(word) < len(part):
+                code = self[word] + self.coder.piece(part[len(word):])
+                if self.coder.room > JOINED * KEPT_PARTS:
+                    self.coder.keep(self, part, code)
+                return code
+            code = self.coder.model_ids(self.lead + word)
+        elif not part or part[0].isspace() or part[-1].isspace():
             raise _OddSpace
-        code = self.code(self.lead + part)
-        if len(part) <= KEPT_LENGTH:
-            self[part] = code
+        else:
+            code = self.coder.part(self.lead + part)
+        self.coder.keep(self, part, code)
         return code
 
 
@@ -119,26 +135,39 @@ class Coder:
         self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
         self.parted = self.whole.normalizer is None and "ByteLevel(add_prefix_space=False" in repr(self.whole.pre_tokenizer) and "use_regex=True" in repr(self.whole.pre_tokenizer)
         self.letters = _byte_letters()
+        self.space = chr(self.letters[32])
         self.pieces: dict[str, bytes] = {}
-        self.first, self.later = _Known(self.part, ""), _Known(self.part, " ")
+        self.first, self.later = _Known(self, ""), _Known(self, " ")
+        self.room = KEPT_PARTS
 
     def by_library(self, text: str) -> bytes:
         return array(self.kind, self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def keep(self, table: dict[str, bytes], part: str, code: bytes) -> None:
+        if self.room > 0 and len(part) <= KEPT_LENGTH:
+            table[part] = code
+        self.room -= 1
+
+    def model_ids(self, piece: str) -> bytes:
+        """Ids of a piece of plain letters, signs or a line's end, by the library's model."""
+        if piece.isascii() and piece != "\n":
+            shown = self.space + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        code = self.pieces.get(piece)
+        if code is None:
+            code = self.model_ids(piece)
+            self.keep(self.pieces, piece, code)
+        return code
+
     def part(self, part: str) -> bytes:
         """Ids of a part: of each of its pieces by the library's model, where the pieces are plain."""
         if not _PLAIN.fullmatch(part):
             return self.by_library(part)
-        out = []
-        for piece in _PIECES.findall(part):
-            code = self.pieces.get(piece)
-            if code is None:
-                shown = piece.encode().decode("latin-1").translate(self.letters)
-                code = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
-                if len(piece) <= KEPT_LENGTH:
-                    self.pieces[piece] = code
-            out.append(code)
-        return b"".join(out)
+        return b"".join([self.piece(p) for p in _PIECES.findall(part)])
 
     def text(self, text: str) -> bytes:
         if not self.parted or not text or self.added and self.added.search(text):
@@ -152,9 +181,10 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = [self.text(t) for t in texts]
-        for known in (self.first, self.later, self.pieces):
-            if len(known) > KEPT_PARTS:
-                known.clear()
+        if self.room < -STALE * KEPT_PARTS:
+            for table in (self.first, self.later, self.pieces):
+                table.clear()
+            self.room = KEPT_PARTS
         return out
 
 
