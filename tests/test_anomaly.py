@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import noisy, pdf, series
+from tidewatt import session
 from tidewatt.errors import ArtefactError, WindowError
 from tidewatt.functions import severity
 from tidewatt.operators import anomaly, axis, features, prepare
@@ -165,3 +166,20 @@ def test_scoring_needs_one_join(table):
     slow = anomaly.flag_windows(anomaly.window_errors(split, parts, ["series_id"]), detector.threshold)
     got, want = (pdf(d, "series_id", "window_id") for d in (flagged, slow))
     assert np.allclose(got["error"], want["error"]) and (got[["is_anomaly", "severity"]] == want[["is_anomaly", "severity"]]).all(axis=None)
+
+
+def test_detector_by_block_equals_the_other_and_leaves_no_copies(spark, folder, monkeypatch, tmp_path):
+    from tidewatt.plans import catalogue, driver_loads
+
+    staged = prepare.chrono_split(driver_loads.event_features(spark, folder, "user_id"), gapless=True).persist()
+    train = staged.where("split = 'train'").drop("pos", "n", "split", "split_pos", "split_n")
+    want = anomaly.detect(staged.drop("split", "split_pos", "split_n"), anomaly.fit_detector(train), positioned=True)
+    want = pdf(want.select("series_id", "window_id", "end_ts", "error", "is_anomaly"), "series_id", "window_id")
+    monkeypatch.setattr(axis, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(axis, "TASK_ROWS", 3000)
+    monkeypatch.setattr(session, "scratch_root", lambda spark: f"file://{tmp_path}")
+    got = pdf(catalogue._scored(spark, folder, "user_id")[0].select(*want.columns), "series_id", "window_id")
+    assert len(got) and got.drop(columns="error").equals(want.drop(columns="error")) and np.allclose(got["error"], want["error"])
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    # the rows lie there once: neither split rows nor training rows are left
+    assert [x for x in left if x in ("hourly", "features", "split", "train-rows", "train-errors")] == ["features"]

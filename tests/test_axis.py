@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from frames import pdf, series
 from tidewatt.operators import axis
+from tidewatt.session import stage
 
 
 @pytest.mark.parametrize("block_rows, fan", [(4096, 4096), (10, 3), (1, 2)])
@@ -103,3 +104,70 @@ def test_gaps_and_repeats_are_found(spark, skip, again):
         axis.gapless_position(df)
     with pytest.raises(axis.InputError):
         axis.gapless_position(series(spark, range(10)).withColumn("timestamp", F.when(F.col("load") < 9, F.col("timestamp")).otherwise(F.expr("timestamp + interval 1 minute"))))
+
+
+@pytest.mark.parametrize("chunk, back", [(4096, 168), (20, 0), (7, 30), (1, 3)])
+def test_dense_chunks_are_the_chunks_of_the_dense_axis(spark, chunk, back):
+    df = series(spark, range(60), skip={1, 2, 30, 31, 59}).unionByName(series(spark, range(9), "b", skip=range(8)))
+    df = df.unionByName(df.where("load = 3")).unionByName(series(spark, [5, 6], None))  # a time twice, no series
+    df = df.unionByName(series(spark, [7], start=pd.Timestamp("2024-03-01 05:30")))     # between the steps
+    df = df.withColumn("load", F.when(F.col("load") != 40, F.col("load")))
+    bounds = spark.createDataFrame(
+        [("a", 4, 70), ("b", -3, 20), (None, 0, 5), ("c", 0, 30), ("d", 9, 3)], "series_id string, f int, l int")
+    start = "timestamp '2024-03-01' + make_interval(0, 0, 0, 0, {}, 0, 0)"
+    bounds = bounds.selectExpr("series_id", f"{start.format('f')} AS first_ts", f"{start.format('l')} AS last_ts")
+    fill = {"load": 0.0}
+    got = axis.dense_chunks(df, bounds, 3, fill=fill, back=back, chunk_rows=chunk)
+    dense = axis.densify(df, bounds=bounds.where("first_ts <= last_ts"), fill=fill)
+    want = axis.with_chunks(dense, axis.tick(), back=back, chunk_rows=chunk)
+    # chunks that have no rows of their own are not made
+    own = want.where("_own").select("series_id", "_chunk").distinct()
+    same = (F.col("w.series_id").eqNullSafe(F.col("o.series_id"))) & (F.col("w._chunk") == F.col("o._chunk"))
+    want = want.alias("w").join(own.alias("o"), same, "left_semi").select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not got.isEmpty()
+
+
+def shuffled_scans(df):
+    """What is read below an exchange, by plan."""
+    found, above = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, name) for d, name in above if d < depth] + [(depth, line.strip(" :+-"))]
+        if "ReadSchema" in line and any(name.startswith("Exchange") for _, name in above):
+            found.append(line.split("ReadSchema: ")[1])
+    return found
+
+
+def test_rows_staged_by_block_are_not_shuffled(spark, monkeypatch):
+    df = series(spark, range(300)).unionByName(series(spark, range(37), "b"))
+    chunked = axis.keep_block(axis.with_chunks(df, axis.tick(), chunk_rows=50), 4)
+    rows = axis.drop_chunks(chunked)
+    rows = stage(rows, "rows", **axis.dealing(rows))
+    assert axis.dealing(rows) == {"by": ["series_id", axis.BLOCK], "parts": 4} and axis.dealing(df) == {}
+    assert not spark.catalog.listTables()
+    params = spark.createDataFrame([("a", 7)], "series_id string, p int")
+    want = axis.attach(axis.with_position(df), params)
+    monkeypatch.setattr(axis, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = axis.attach(axis.with_position(rows), params)
+        read = shuffled_scans(got)
+        assert read and not any("load" in columns for columns in read)
+        got = got.select(want.columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 337
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("limit, copies", [(1000, 2), (15, 6)])
+def test_only_long_series_have_copies_of_their_parameters(spark, monkeypatch, limit, copies):
+    df = series(spark, range(70)).unionByName(series(spark, range(15), "b"))
+    params = spark.createDataFrame([("a", 7), ("b", 8)], "series_id string, p int")
+    want = axis.attach(df, params)
+    monkeypatch.setattr(axis, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(axis, "SALT_ROWS", limit)
+    rows, copied = axis.salted(df, params, ["series_id"])
+    assert copied.count() == copies and rows.count() == 85
+    got = axis.attach(df, params)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

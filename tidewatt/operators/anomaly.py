@@ -28,7 +28,7 @@ from ..schema import (
     BOTTLENECK, DETECTOR_COLUMNS, HOUR, MAX_ERROR_BUFFER, SERIES, SEVERITY_LEVELS, TIME, WINDOW_LENGTH,
     WINDOW_STRIDE,
 )
-from ..session import cut, stage
+from ..session import cut, stage, staged
 from . import axis, prepare
 from .quantiles import exact_quantiles
 
@@ -83,9 +83,11 @@ def window_parameters(scaler: DataFrame, profile: DataFrame, threshold: DataFram
     scales = scaler.select(*keys, F.array(*[F.col(f"min_{c}") for c in columns]).alias("_low"),
                            F.array(*[F.expr(f"1D / ({span_of(c)})") for c in columns]).alias("_by"))
     made = scales.join(flat, keys)
-    if threshold is None:
-        return cut(made)
-    return cut(made.join(threshold.select(*keys, "threshold", F.col("std").alias("_std")), keys, "left"))
+    return stage(made if threshold is None else _with_limits(made, threshold, keys), "parameters")
+
+
+def _with_limits(params: DataFrame, threshold: DataFrame, keys: list[str]) -> DataFrame:
+    return params.join(threshold.select(*keys, "threshold", F.col("std").alias("_std")), keys, "left")
 
 
 def errors_by_parameters(
@@ -97,7 +99,7 @@ def errors_by_parameters(
     A threshold among the parameters is handed on with the windows.
     """
     keys = list(keys)
-    cells = prepare.window_cells(rows.select(*keys, time, "pos", "n", *columns), length, stride)
+    cells = prepare.window_cells(rows.select(*keys, time, "pos", "n", *columns, *axis.block_of(rows)), length, stride)
     wide = axis.attach(cells, params, keys, values=len(columns) * (length + 2) + 2)
     width = len(columns)
     gap = F.expr(" + ".join(
@@ -358,6 +360,8 @@ class Detector:
     autoencoder: LinearAutoencoder | None = None
     length: int = WINDOW_LENGTH
     step: int = HOUR
+    # ``window_parameters`` of scaler and profile, where they are still there from the fit
+    parameters: DataFrame | None = None
 
 
 def window_errors(rows: DataFrame, detector_parts, keys, stride: int = WINDOW_STRIDE,
@@ -385,25 +389,27 @@ def fit_detector(
     """
     keys = list(keys)
     rows = prepare.normal_rows(train) if filter_normal else train
+    narrow = rows.select(*keys, TIME, *DETECTOR_COLUMNS, *axis.block_of(rows))
     # numbered once and written: the passes below only read it
-    rows = stage(axis.with_position(rows.drop("pos", "n"), keys, step=step), "train-rows")
-    scaler = cut(prepare.fit_minmax(rows, DETECTOR_COLUMNS, keys))
-    scaled = prepare.transform_minmax(rows, scaler, DETECTOR_COLUMNS, keys)
-    profile = autoencoder = None
-    if reconstruction == "profile":
-        profile = cut(fit_profile(scaled, keys=keys, length=length, stride=fit_stride or stride))
-    elif reconstruction == "pca":
-        # more windows than components are needed: fit on overlapping ones
-        autoencoder = fit_autoencoder_rows(scaled, k, keys=keys, length=length, stride=fit_stride or 1)
-    else:
-        raise ValueError(f"unknown reconstruction {reconstruction!r}")
-    if autoencoder is None:
-        errors = errors_by_parameters(rows, window_parameters(scaler, profile, keys=keys), keys=keys, length=length, stride=stride)
-    else:
-        errors = window_errors(rows, (scaler, profile, autoencoder, keys), keys, stride, length)
-    errors = cut(errors)
-    threshold = cut(fit_threshold(errors, keys, method))
-    return Detector(scaler, threshold, keys, profile, autoencoder, length, step)
+    with staged(axis.with_position(narrow, keys, step=step), "train-rows", **axis.dealing(narrow, keys)) as rows:
+        scaler = cut(prepare.fit_minmax(rows, DETECTOR_COLUMNS, keys))
+        scaled = prepare.transform_minmax(rows, scaler, DETECTOR_COLUMNS, keys)
+        profile = autoencoder = params = None
+        if reconstruction == "profile":
+            profile = stage(fit_profile(scaled, keys=keys, length=length, stride=fit_stride or stride), "profile")
+        elif reconstruction == "pca":
+            # more windows than components are needed: fit on overlapping ones
+            autoencoder = fit_autoencoder_rows(scaled, k, keys=keys, length=length, stride=fit_stride or 1)
+        else:
+            raise ValueError(f"unknown reconstruction {reconstruction!r}")
+        if autoencoder is None:
+            params = window_parameters(scaler, profile, keys=keys)
+            errors = errors_by_parameters(rows, params, keys=keys, length=length, stride=stride)
+        else:
+            errors = window_errors(rows, (scaler, profile, autoencoder, keys), keys, stride, length)
+        with staged(errors.select(*keys, "error"), "train-errors") as errors:
+            threshold = cut(fit_threshold(errors, keys, method))
+    return Detector(scaler, threshold, keys, profile, autoencoder, length, step, params)
 
 
 def detect(
@@ -417,7 +423,10 @@ def detect(
     keys = detector.keys
     rows = df if positioned else axis.with_position(df.drop("pos", "n"), keys, time, detector.step)
     if detector.autoencoder is None:
-        params = window_parameters(detector.scaler, detector.profile, detector.threshold, keys)
+        if detector.parameters is None:
+            params = window_parameters(detector.scaler, detector.profile, detector.threshold, keys)
+        else:
+            params = stage(_with_limits(detector.parameters, detector.threshold, keys), "parameters")
         return _flagged(errors_by_parameters(rows, params, keys=keys, time=time, length=detector.length, stride=stride), severity)
     parts = (detector.scaler, detector.profile, detector.autoencoder, keys)
     errors = window_errors(rows, parts, keys, stride, detector.length, time)

@@ -12,6 +12,8 @@ Positional operators expect one row per (series, time) and no null in either;
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +33,16 @@ FAN = 4096
 # (32 MB of doubles).
 BROADCAST_ROWS = 100_000
 BROADCAST_VALUES = 4_000_000
-# Tasks over which one series is spread when its parameters are not broadcast.
+# Tasks over which one long series is spread when its parameters are not
+# broadcast, and the rows of it that are left to one task.
 SALTS = 32
+SALT_ROWS = 100_000
+# Column that says in which block of time a row lies, kept in tables that are
+# staged by (series, block): whole series need not meet, and no row is shuffled again.
+BLOCK = "_time_block"
+# Rows of a dense axis made by one task, and the most tasks (Spark allows 100,000 buckets).
+TASK_ROWS = 1 << 17
+MAX_PARTS = 50_000
 
 
 def tick(time: str | Column = TIME, step: int = HOUR) -> Column:
@@ -60,20 +70,21 @@ def with_position(
 
     Rows are numbered inside blocks of time; a small table of block totals
     says how many rows precede each block. ``time`` may also be a numeric row
-    number, for tables without a time axis.
+    number, for tables without a time axis. Blocks that ``df`` already has
+    (``BLOCK``) are used and kept.
     """
     keys = list(keys)
-    numeric = isinstance(df.schema[time].dataType, T.NumericType)
-    seconds = F.col(time) * F.lit(step) if numeric else F.unix_seconds(time)
-    blocked = df.where(F.col(time).isNotNull()).withColumn(
-        "_block", F.floor(seconds / F.lit(step * block_rows))
-    )
-    totals = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    block, blocked = BLOCK, df.where(F.col(time).isNotNull())
+    if BLOCK not in df.columns:
+        numeric = isinstance(df.schema[time].dataType, T.NumericType)
+        seconds = F.col(time) * F.lit(step) if numeric else F.unix_seconds(time)
+        block, blocked = "_block", blocked.withColumn("_block", F.floor(seconds / F.lit(step * block_rows)))
+    totals = blocked.groupBy(*keys, F.col(block).alias("_block")).agg(F.count(F.lit(1)).alias("_rows"))
     # numbered before the join: the sort of the window also serves the join
-    inside = Window.partitionBy(*keys, "_block").orderBy(time, *order)
+    inside = Window.partitionBy(*keys, block).orderBy(time, *order)
     return (
         blocked.withColumn("_at", F.row_number().over(inside))
-        .join(_block_offsets(totals, keys), [*keys, "_block"])
+        .join(_block_offsets(totals, keys).withColumnRenamed("_block", block), [*keys, block])
         .withColumn("pos", F.col("_before") + F.col("_at") - F.lit(1))
         .drop("_block", "_before", "_at")
     )
@@ -164,6 +175,22 @@ def drop_chunks(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_at", "_chunk", "_own")
 
 
+def keep_block(chunked: DataFrame, parts: int) -> DataFrame:
+    """Add the chunk as ``BLOCK``, which says that (series, chunk) are dealt to ``parts`` tasks."""
+    return chunked.withColumn(BLOCK, F.col("_chunk").alias(BLOCK, metadata={"parts": parts}))
+
+
+def block_of(df: DataFrame) -> list[str]:
+    """``BLOCK`` where ``df`` has it, to be selected with other columns."""
+    return [BLOCK] if BLOCK in df.columns else []
+
+
+def dealing(df: DataFrame, keys: Sequence[str] = SERIES) -> dict:
+    """``by`` and ``parts`` that ``stage`` needs to keep the rows of ``df`` where they are."""
+    parts = df.schema[BLOCK].metadata.get("parts", 0) if block_of(df) else 0
+    return {"by": [*keys, BLOCK], "parts": parts} if parts else {}
+
+
 def last_rows(
     df: DataFrame, count: int, keys: Sequence[str] = SERIES, time: str = TIME
 ) -> DataFrame:
@@ -227,16 +254,76 @@ def densify(
     return full.fillna(fill) if fill else full
 
 
+def dense_rows(bounds: DataFrame, step: int = HOUR) -> int:
+    """Rows that ``densify`` makes for ``bounds``."""
+    steps = F.floor((F.unix_seconds("last_ts") - F.unix_seconds("first_ts")) / F.lit(step)) + F.lit(1)
+    return bounds.agg(F.sum(F.greatest(steps, F.lit(0)))).first()[0] or 0
+
+
+def dense_parts(bounds: DataFrame, step: int = HOUR) -> int:
+    """Tasks for the rows that ``densify`` makes for ``bounds``."""
+    # two at least: one part alone would be no part by key
+    return min(max(2, math.ceil(dense_rows(bounds, step) / TASK_ROWS)), MAX_PARTS)
+
+
+def dense_chunks(
+    df: DataFrame, bounds: DataFrame, parts: int, keys: Sequence[str] = SERIES, time: str = TIME, step: int = HOUR,
+    fill: dict | None = None, back: int = 0, chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """``with_chunks`` of ``densify``, by the time of a row, without a shuffle of the dense rows.
+
+    Only the rows of ``df``, with their copies, and one start of each chunk
+    are dealt by (series, chunk) to ``parts`` tasks. There each row, and each
+    start, is followed by the steps that are absent up to the next row. Chunks
+    without rows of their own are left out. ``bounds`` has one row per series.
+    """
+    keys = list(keys)
+    rows, width = F.lit(chunk_rows), F.lit(step)
+    values = [c for c in df.columns if c not in (*keys, time)]
+    first = F.unix_seconds("first_ts")
+    ends = bounds.select(*keys, F.floor(first / width).alias("_from"), F.pmod(first, width).alias("_off"),
+                         F.floor((F.unix_seconds("last_ts") - first) / width).alias("_steps")).where("_steps >= 0")
+    until = F.col("_from") + F.col("_steps")
+    starts = ends.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_from") / rows), F.floor(until / rows)))).select(
+        *keys, "_chunk", F.greatest("_from", F.col("_chunk") * rows - F.lit(back)).alias("_at"), "_off",
+        F.least(until, (F.col("_chunk") + F.lit(1)) * rows - F.lit(1)).alias("_until"))
+    # like a join by time: rows without a key or a whole second meet no step
+    seconds = F.unix_seconds(time)
+    known = df.where(F.timestamp_seconds(seconds) == F.col(time)).dropna("any", subset=keys)
+    copied = with_chunks(known, F.floor(seconds / width), back=back, chunk_rows=chunk_rows)
+    copied = copied.select(*keys, "_chunk", "_at", F.pmod(seconds, width).alias("_off"), F.lit(None).cast("bigint").alias("_until"),
+                           F.lit(True).alias("_real"), *values)
+    dealt = copied.unionByName(starts.withColumn("_real", F.lit(False)), allowMissingColumns=True).repartition(parts, *keys, "_chunk")
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_at", "_real")
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    start = lambda c: F.min(F.when(~F.col("_real"), F.col(c))).over(whole)
+    placed = dealt.withColumns({"_low": start("_at"), "_high": start("_until"), "_shift": start("_off")})
+    placed = placed.where((F.col("_off") == F.col("_shift")) & F.col("_at").between(F.col("_low"), F.col("_high")))
+    # the last absent step behind a row, or the row itself if the next one follows at once or has the same time
+    behind = F.coalesce(F.lead("_at").over(inside), F.col("_high") + F.lit(1)) - F.lit(1)
+    spread = placed.withColumn("_behind", F.when(F.col("_real"), F.greatest("_at", behind)).otherwise(behind)).where("_behind >= _at")
+    made = spread.withColumn("_step", F.explode(F.sequence("_at", "_behind")))
+    own = F.col("_real") & (F.col("_step") == F.col("_at"))
+    full = made.select(
+        *keys, F.timestamp_seconds(F.col("_step") * width + F.col("_shift")).alias(time),
+        *[F.when(own, F.col(c)).alias(c) for c in values], F.col("_step").alias("_at"), "_chunk",
+        (F.col("_chunk") == F.floor(F.col("_step") / rows)).alias("_own"))
+    return full.fillna(fill) if fill else full
+
+
 def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = SERIES, values: int | None = None) -> DataFrame:
     """Put the parameters of a series (scaler, threshold, profile) on its rows.
 
     ``params`` has one row per series and should already be materialised: its
     rows are counted here. A small one is broadcast and ``df`` is not shuffled.
-    Beyond that rows are joined by (series, salt), where the salt is a hash of
-    the row and ``params`` is copied once per salt. A long series is then
-    spread over ``SALTS`` tasks, and since the salt is no column of the result,
-    what groups by chunk or window afterwards shuffles by its own keys instead
-    of keeping a whole series together. Rows of a series without parameters
+    Beyond that, rows that have their block (``BLOCK``) are joined by (series,
+    block), with one copy of ``params`` for each block of a series; rows staged
+    by block are not shuffled. Others are joined by (series, salt): a series of
+    more than ``SALT_ROWS`` rows, which are counted, gets up to ``SALTS`` salts,
+    a hash of the row, and as many copies of its ``params``; all others get one.
+    A long series is then spread over tasks, and since the salt is no column of
+    the result, what groups by chunk or window afterwards shuffles by its own
+    keys instead of keeping a whole series together. Rows of a series without parameters
     are kept, with nulls. ``values`` is the number of values in a row of
     ``params``, where its columns are arrays.
     """
@@ -247,6 +334,25 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str] = SERIES, value
     bound = min(BROADCAST_ROWS, BROADCAST_VALUES // (values or len(params.columns)))
     if params.limit(bound + 1).count() <= bound:
         return df.join(F.broadcast(params), keys, "left")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-    copies = params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+    if BLOCK in df.columns:
+        copies = params.join(df.select(*keys, BLOCK).distinct(), keys)
+        return df.join(copies.hint("shuffle_hash"), [*keys, BLOCK], "left")
+    rows, copies = salted(df, params, keys)
+    return rows.join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
+def salted(df: DataFrame, params: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its ``_salt`` and ``params`` once for each salt of its series."""
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > SALT_ROWS)
+    long = cut(long.select(*keys, F.least(F.ceil(F.col("_rows") / SALT_ROWS), F.lit(SALTS)).alias("_salts")))
+    if long.isEmpty():
+        counted, copied = df.withColumn("_salts", F.lit(1)), params.withColumn("_salts", F.lit(1))
+    else:
+        # few by their size: each has many rows
+        counted, copied = (x.join(F.broadcast(long), keys, "left") for x in (df, params))
+    salts = F.coalesce("_salts", F.lit(1)).cast("bigint")
+    # rows without a series meet no parameters and may lie anywhere
+    unknown = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    rows = counted.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.when(unknown, F.lit(SALTS)).otherwise(salts))).drop("_salts")
+    copies = copied.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - F.lit(1)))).drop("_salts")
+    return rows, copies

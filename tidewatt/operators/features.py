@@ -115,17 +115,22 @@ def load_features(
     df: DataFrame, holidays: DataFrame | None = None, value: str = TARGET_COLUMN,
     keys: Sequence[str] = SERIES, time: str = TIME, step: int = HOUR,
     gapless: bool = False, drop_incomplete: bool = True, chunk_rows: int = axis.CHUNK_ROWS,
+    chunked: bool = False, parts: int = 0,
 ) -> DataFrame:
     """The feature table: raw columns, calendar, three lags, three rolling.
 
     Lags and rolling values share one shuffle and one sort; the calendar
     columns are added after it so that they are not shuffled. Rows with any
     missing value are dropped, which removes at least the first 168 rows.
+    ``chunked`` says that ``df`` is in chunks with the 168 rows before them;
+    with ``parts``, the number of tasks that chunks are dealt to, the number of
+    the chunk is kept as ``axis.BLOCK``.
     """
-    chunked = _in_chunks(df, keys, time, step, gapless, WEEK_ROWS, chunk_rows)
+    cut_up = df if chunked else _in_chunks(df, keys, time, step, gapless, WEEK_ROWS, chunk_rows)
     w = axis.chunk_window(keys)
-    lagged = chunked.withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in (1, DAY_ROWS, WEEK_ROWS)})
-    wide = axis.drop_chunks(_rolling(lagged, value, keys))
+    lagged = cut_up.withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in (1, DAY_ROWS, WEEK_ROWS)})
+    rolled = _rolling(lagged, value, keys)
+    wide = axis.drop_chunks(axis.keep_block(rolled, parts) if parts else rolled)
     out = calendar_features(wide, holidays, time)
     return out.dropna("any") if drop_incomplete else out
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import holiday_table
 from ..operators import axis
-from ..operators.features import load_features
+from ..operators.features import WEEK_ROWS, load_features
 from ..schema import DAY, SERIES, TIME
-from ..session import prepare_session, stage
+from ..session import cut, prepare_session, stage, staged
 
 FILL = {"load": 0.0, "temperature": 0.0, "humidity": 0.0}
 
@@ -87,6 +87,19 @@ def event_features(spark: SparkSession, folder: str, key: str = "event_type", **
     )
 
 
+def blocked_features(spark: SparkSession, folder: str, key: str = "event_type") -> DataFrame:
+    """``event_features``, written by (series, block) with ``axis.BLOCK``: passes over them shuffle no rows.
+
+    The absent hours are put in where the features are made, so they are not shuffled either.
+    """
+    with staged(hourly_events(spark, folder, key), "hourly") as hourly:
+        bounds = cut(axis.global_bounds(axis.series_bounds(hourly)))
+        parts = axis.dense_parts(bounds)
+        chunks = axis.dense_chunks(hourly, bounds, parts, fill=FILL, back=WEEK_ROWS)
+        made = load_features(chunks, holiday_table(spark, 2023, 2025), chunked=True, parts=parts)
+        return stage(made, "features", **axis.dealing(made))
+
+
 def order_features(spark: SparkSession, folder: str, key: str | None = None) -> DataFrame:
     return load_features(
         dense_orders(spark, folder, key), holiday_table(spark, 1994, 2002), step=DAY, gapless=True
